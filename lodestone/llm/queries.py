@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import jaccard_join, mixing, quality_rules, sentencepiece_codec
+from lodestone.llm import jaccard_join, mixing, quality_rules, sentencepiece_codec, toxicity
 from lodestone.llm.common import table
 
 
@@ -15,6 +15,7 @@ def _piece_model() -> str:
 QUERIES = {
     "op1_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     "op2_sentencepiece": lambda spark, d: sentencepiece_codec.encoded(table(spark, d, "documents"), _piece_model()),
+    "op5_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_quality_rules": lambda spark, d: quality_rules.query(table(spark, d, "documents")),
     "op10_ngram_jaccard_join": lambda spark, d: jaccard_join.query(table(spark, d, "documents")),
 }
