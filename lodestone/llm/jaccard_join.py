@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 
-K, PERCENT, BATCH_TOKENS, BUCKET_CHARS = 5, 75, 1_500_000, 12_000_000
+K, PERCENT, BATCH_TOKENS, BUCKET_CHARS = 5, 75, 500_000, 12_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
-CACHE_WORDS = 1_000_000  # bounds memory alone
+CACHE_WORDS = 150_000  # bounds memory alone
 
 
 def mix(x: np.ndarray) -> np.ndarray:
