@@ -1 +1,207 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Registered queries over the given tables, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import admission, ingest, observability, retrieval
+
+LEXICAL = [(1, "the and"), (2, "license cc by"), (3, "de la")]
+CUTOFF = "2024-01-20 00:00:00"
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def corpus(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), F.element_at(F.split("text", "\n"), 1).alias("title"), "text", F.col("lang").alias("domain"), F.col("source").alias("library"))
+
+
+def lexical_topk(spark, d):
+    return retrieval.lexical_candidates(corpus(spark, d), LEXICAL, 5).select("query_id", "chunk_id", "score", "rank")
+
+
+_SCORES = "".join(
+    f"{' UNION ALL ' if n else ''}SELECT {i}::BIGINT AS query_id, chunk_id, (CASE WHEN contains(x, '{q}') THEN 12 ELSE 0 END + CASE WHEN contains(t, '{q}') THEN 20 ELSE 0 END"
+    + "".join(f" + CASE WHEN contains(t, '{w}') THEN 8 ELSE 0 END + least(8, (length(x) - length(replace(x, '{w}', ''))) // {len(w)})" for w in q.split())
+    + ")::BIGINT AS score FROM n"
+    for n, (i, q) in enumerate(LEXICAL)
+)
+_NORM = r"WITH n AS (SELECT doc_id AS chunk_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}]+', ' ', 'g')) AS t, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS x FROM documents), s AS (" + _SCORES + ")"
+_LEX = _NORM + ", l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM s WHERE score > 0)"
+
+
+def rrf_fusion(spark, d):
+    lex = retrieval.lexical_candidates(corpus(spark, d), LEXICAL, 30)
+    meta = lex.select("query_id", "chunk_id", (F.lit(1000) - F.col("chunk_id") % 997).alias("score"))
+    meta = retrieval.top_k(meta, 30, "chunk_id")
+    return retrieval.fuse((meta, "vector", 1.3), (lex, "lexical", 1.0), k=10).select("query_id", "chunk_id", "score", "raw_score", "rank")
+
+
+def vector_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("q_label"))
+    return retrieval.vector_candidates(e, F.broadcast(q) if q.count() <= 10_000 else q, 5, "label").select("query_id", "vec_id", "score", "rank")
+
+
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+def url_slug(spark, d):
+    return table(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"), T.safe_name(F.col("url")).alias("file_name"))
+
+
+def ngram_phrases(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", T.words(retrieval.simple_norm(F.col("text"))).alias("w"))
+    return t.select("item_id", F.explode(T.phrases(F.col("w"))).alias("phrase"))
+
+
+def chunk_split(spark, d):
+    return ingest.chunks(table(spark, d, "documents"), 1200, 60)
+
+
+def shard_fanout(spark, d):
+    return ingest.shard_rows(corpus(spark, d)).groupBy("shard_key").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+
+
+def manifest_delta(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id", "left")
+    before = docs.filter("quality is null or quality = 1").select("doc_id", F.when(F.col("quality") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    now = docs.filter("toxic is null or toxic = 0")
+    return ingest.delta(ingest.manifest(before, "doc_id", "text"), ingest.manifest(now, "doc_id", "text")).groupBy("change").agg(F.count("*").alias("keys"), F.sum("key").alias("key_sum"))
+
+
+def events(spark, d) -> DataFrame:
+    """Events as query events: errors are fallbacks, the k of props is a rating, value a cost."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return e.select("event_id", "ts", "user_id", "event_type", F.round("value", 2).alias("cost"), (F.col("event_type") != "error").alias("answered"), F.when(F.col("k") % 3 == 0, "up").when(F.col("k") % 3 == 1, "down").alias("rating"), "k")
+
+
+_EVENTS = "WITH e AS (SELECT event_id, ts, user_id, event_type, round(value, 2) AS cost, event_type <> 'error' AS answered, CASE (props->>'$.k')::INT % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END AS rating, (props->>'$.k')::INT AS k FROM events)"
+
+
+def feedback_mirror(spark, d):
+    """Each document with the last rating that arrived for it (arrival order, not time): ratings are labels, arrivals events."""
+    e = events(spark, d).filter("rating is not null").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("rating", "event_id").alias("rating"))
+    return table(spark, d, "documents").select("doc_id").join(e, "doc_id", "left")
+
+
+def followup_query(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    u = table(spark, d, "conversations").filter("role = 'user'")
+    return u.select("conv_id", "turn", F.concat_ws("\n", F.lag("text").over(w), "text").alias("retrieval_query"))
+
+
+def retrieval_eval(spark, d):
+    """For each passage the documents that hold it whole; candidates meet on the passage's first five words."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), words("text").alias("w")).select("item_id", "passage", key(F.col("w"), 2).alias("key"))
+    docs = table(spark, d, "documents").select("doc_id", "text", words("text").alias("w")).filter("size(w) >= 5")
+    post = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
+    near = post.join(b, "key").select("item_id", "doc_id", "passage").distinct()
+    hits = near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage"))
+    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+def quota_admission(spark, d):
+    e = events(spark, d).select("event_id", "ts", F.col("user_id").alias("actor"), (F.col("user_id") % 11).alias("network"))
+    return admission.reserve(e, (3, 30, 250))
+
+
+def leaky_rpm(spark, d):
+    return admission.leaky(events(spark, d).select("event_id", F.col("user_id").alias("key"), "ts"), 1)
+
+
+def asof_rating(spark, d):
+    e = events(spark, d)
+    return observability.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type <> 'purchase'").select("user_id", "ts", F.col("k").alias("last_k")).groupBy("user_id", "ts").agg(F.max("last_k").alias("last_k")), "user_id", "ts", "last_k").select("event_id", "last_k")
+
+
+def with_preview(spark, d):
+    return observability.retention(events(spark, d).select("event_id", "ts", F.concat("event_type", F.lit(":"), "k").alias("preview")), CUTOFF).select("event_id", "preview", "expired")
+
+
+QUERIES = {
+    "lexical_topk": lexical_topk,
+    "rrf_fusion": rrf_fusion,
+    "vector_topk": vector_topk,
+    "hydrate": lambda s, d: retrieval.hydrate(retrieval.lexical_candidates(corpus(s, d), LEXICAL, 30), corpus(s, d).join(table(s, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select("chunk_id", "title", "text"), 5).select("query_id", "chunk_id", "score", "rank"),
+    "html_to_text": html_to_text,
+    "url_slug": url_slug,
+    "ngram_phrases": ngram_phrases,
+    "chunk_split": chunk_split,
+    "shard_fanout": shard_fanout,
+    "manifest_delta": manifest_delta,
+    "obs_totals": lambda s, d: observability.totals(events(s, d)),
+    "obs_groups": lambda s, d: observability.top_groups(events(s, d).filter("not answered or rating = 'down'"), ["user_id", "event_type"], 25),
+    "obs_cpu": lambda s, d: observability.lower_percentile(events(s, d), "event_type", "cost", 0.95),
+    "usage_counters": lambda s, d: observability.usage_counters(events(s, d)),
+    "quota_guarded": lambda s, d: observability.guarded(events(s, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["day", "user_id"], 2, ["ts", "event_id"]).select("event_id", "admitted"),
+    "budget_alerts": lambda s, d: observability.budget_alerts(events(s, d), 5),
+    "feedback_mirror": feedback_mirror,
+    "followup_query": followup_query,
+    "retrieval_eval": retrieval_eval,
+    "retention": with_preview,
+    "session_windows": lambda s, d: observability.sessions(events(s, d), 43_200),
+    "asof_rating": asof_rating,
+    "quota_admission": quota_admission,
+    "leaky_rpm": leaky_rpm,
+}
+
+_CLEAN = "html"
+for _p, _r, _o in [(r"<br\s*/?>", "chr(10)", "gi"), (r"</(p|div|li|h[1-6]|tr|section|article|blockquote)>", "chr(10)", "gi"), (r"<[^>]+>", "''", "g")]:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {_r}, '{_o}')"
+for _a, _b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b}')"
+_CLEAN = f"replace({_CLEAN}, chr(13) || chr(10), chr(10))"
+for _p, _r in [(r"[ \t]+", "' '"), (r" *\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^[ \n]+|[ \n]+$", "''")]:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {_r}, 'g')"
+
+ORACLE_SQL = {
+    "lexical_topk": _LEX + " SELECT query_id, chunk_id, score, rank FROM l WHERE rank <= 5",
+    "rrf_fusion": _LEX
+    + """, a AS (SELECT * FROM l WHERE rank <= 30), m AS (SELECT query_id, chunk_id, 1000 - chunk_id % 997 AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1000 - chunk_id % 997 DESC, chunk_id) AS rank FROM a),
+p AS (SELECT query_id, chunk_id, 0 AS n, rank, score::DOUBLE AS raw, 1.3::DOUBLE / (60 + rank) AS part FROM m UNION ALL SELECT query_id, chunk_id, 1, rank, score::DOUBLE, 1.0::DOUBLE / (60 + rank) + score * 0.001::DOUBLE FROM a),
+f AS (SELECT query_id, chunk_id, round(sum(part), 9) AS score, max(raw) AS raw_score, min(n * 1000 + rank) AS first FROM p GROUP BY ALL)
+SELECT query_id, chunk_id, score, raw_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id)::BIGINT AS rank FROM f) WHERE rank <= 10""",
+    "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND q.label = e.label)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s) WHERE rank <= 5""",
+    "hydrate": _LEX + """, h AS (SELECT query_id, chunk_id, score FROM l WHERE rank <= 30 AND chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND chunk_id IN (SELECT doc_id FROM documents WHERE length(split_part(text, chr(10), 1)) > 0))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM h) WHERE rank <= 5""",
+    "html_to_text": f"SELECT page_id, {_CLEAN} AS text FROM pages",
+    "url_slug": r"""SELECT page_id, regexp_replace(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1], '\.php$', '') AS slug, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS file_name FROM pages""",
+    "ngram_phrases": r"""WITH w AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 2) AS w FROM benchmark),
+g AS (SELECT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([2, 3, 4]) AS n)))
+SELECT DISTINCT item_id, phrase FROM g""",
+    "shard_fanout": """WITH k AS (SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'lexical:facet:' || source ELSE 'lexical:domain:' || coalesce(lang, 'default') END AS shard_key FROM documents UNION ALL SELECT doc_id, 'lexical:metadata' FROM documents)
+SELECT shard_key, count(*) AS chunks, min(doc_id) AS first_chunk FROM k GROUP BY 1""",
+    "manifest_delta": """WITH d AS (SELECT doc_id, text, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+b AS (SELECT doc_id, sha256(CASE WHEN quality = 1 THEN text || '!' ELSE text END) AS old FROM d WHERE quality IS NULL OR quality = 1), n AS (SELECT doc_id, sha256(text) AS new FROM d WHERE toxic IS NULL OR toxic = 0),
+c AS (SELECT doc_id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' WHEN old <> new THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN n USING (doc_id))
+SELECT change, count(*) AS keys, sum(doc_id)::BIGINT AS key_sum FROM c GROUP BY 1""",
+    "obs_totals": _EVENTS + " SELECT count(*) AS total, count(*) FILTER (answered) AS answered, count(*) FILTER (NOT answered) AS fallbacks, count(*) FILTER (rating = 'up') AS likes, count(*) FILTER (rating = 'down') AS dislikes, count(*) FILTER (rating IS NULL) AS unrated FROM e",
+    "obs_groups": _EVENTS + """ SELECT user_id, event_type, count(*) AS "count" FROM e WHERE NOT answered OR rating = 'down' GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 25""",
+    "obs_cpu": _EVENTS + ", r AS (SELECT event_type, cost, row_number() OVER (PARTITION BY event_type ORDER BY cost) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM e WHERE cost IS NOT NULL) SELECT event_type, n, cost FROM r WHERE r = floor((n - 1) * 0.95) + 1",
+    "usage_counters": _EVENTS + """, k AS (SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, user_id, cost FROM e)
+SELECT 'day' AS period_type, day AS period_key, 'global' AS scope, 'all' AS usage_key, count(*) AS queries, round(sum(cost), 2) AS cost FROM k GROUP BY day
+UNION ALL SELECT 'month', month, 'global', 'all', count(*), round(sum(cost), 2) FROM k GROUP BY month
+UNION ALL SELECT 'day', day, 'device', user_id::VARCHAR, count(*), round(sum(cost), 2) FROM k GROUP BY day, user_id""",
+    "quota_guarded": "SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), user_id ORDER BY ts, event_id) <= 2 AS admitted FROM events",
+    "budget_alerts": """WITH u AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS used FROM events)
+SELECT user_id, day, t::BIGINT AS threshold, used, event_id FROM u, (SELECT unnest([80, 90, 100]) AS t) WHERE used * 100 >= t * 5 AND (used - 1) * 100 < t * 5""",
+    "feedback_mirror": _EVENTS + ", f AS (SELECT user_id AS doc_id, max_by(rating, event_id) AS rating FROM e WHERE rating IS NOT NULL GROUP BY 1) SELECT doc_id, rating FROM documents LEFT JOIN f USING (doc_id)",
+    "followup_query": "SELECT conv_id, turn, concat_ws(chr(10), lag(text) OVER (PARTITION BY conv_id ORDER BY turn), text) AS retrieval_query FROM conversations WHERE role = 'user'",
+    "retrieval_eval": "SELECT item_id, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1",
+    "retention": _EVENTS + f" SELECT event_id, CASE WHEN ts >= '{CUTOFF}' THEN event_type || ':' || k END AS preview, ts < '{CUTOFF}' AS expired FROM e",
+    "session_windows": """WITH s AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 43200000000 THEN 0 ELSE 1 END AS new FROM events),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM s)
+SELECT user_id, session_no, count(*) AS events, min(ts) AS started, max(ts) AS ended FROM n GROUP BY 1, 2""",
+    "asof_rating": _EVENTS + ", r AS (SELECT user_id, ts, max(k) AS last_k FROM e WHERE event_type <> 'purchase' GROUP BY ALL) SELECT p.event_id, r.last_k FROM e p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.ts >= r.ts WHERE p.event_type = 'purchase'",
+}
