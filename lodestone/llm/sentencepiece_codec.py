@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by backtracking over longest vocabulary matches.
 
-A text is cut before each space run and around line breaks and characters that no piece holds; no merge of this
-kind of vocabulary crosses such a cut (checked when the model is loaded). Each part is encoded left to right: take the
+A text is cut before each space run, around line breaks and characters that no piece holds, and between a letter and a
+mark where no piece has the two side by side; no merge crosses such a cut (checked when the model is loaded). Each part is encoded left to right: take the
 longest piece that an Aho-Corasick automaton finds at the position, accept it if re-merging it with its left neighbour
 gives the same two pieces, else try the next shorter one; when none is left, drop the last piece and mark its end in a
 bitfield so that no other path tries that position again. A sequence whose pieces all agree with their neighbours is
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE_PARTS = 400_000  # a bound on memory alone: parts beyond it are encoded anew
+LAST = float("inf")
+CACHE_PARTS = 250_000  # a bound on memory alone: parts beyond it are encoded anew
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -49,13 +50,39 @@ class Codec:
         for p in self.rank:
             self.trie.add_word(p, p)
         self.trie.make_automaton()
-        self.part = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        self.shown = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.widest, self.shorter = max(map(len, self.rank)), {}
+        # marks that no piece holds right after a letter: no merge joins a word to them
+        marks = "".join(c for c in ".,;:!?" if not any(a.isalpha() and b == c for p in self.rank for a, b in zip(p, p[1:])))
+        word = f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+        self.part = re.compile(f"\n|{word}{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        held = "".join(re.escape(c) for c in self.rank if len(c) == 1)
+        self.unknown = re.compile(f"([^{held}]+)")
         self.agree: dict = {}
         self.cache: dict = {}
+        self.older: dict = {}
 
     def merged(self, text: str) -> list[str]:
         """text by its merge rules alone: the lowest rank first, of equal ranks the leftmost."""
-        parts, nxt, prv = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        parts, rank = list(text), self.rank
+        if len(parts) > 40:
+            return self._merged_long(parts)
+        pairs = [rank.get(parts[i] + parts[i + 1], LAST) for i in range(len(parts) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == LAST:
+                break
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank.get(parts[i] + parts[i + 1], LAST)
+            if i:
+                pairs[i - 1] = rank.get(parts[i - 1] + parts[i], LAST)
+        return parts
+
+    def _merged_long(self, parts: list[str]) -> list[str]:
+        nxt, prv = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         todo: list = []
 
         def offer(i: int) -> None:
@@ -85,50 +112,59 @@ class Codec:
             self.agree[key] = known
         return known
 
+    def _longest(self, text: str, at: int) -> str:
+        """The longest piece at a place: the automaton's longest path, cut back to a piece."""
+        end = at + self.trie.longest_prefix(text[at : at + self.widest])
+        while text[at:end] not in self.rank:
+            end -= 1
+        return text[at:end]
+
+    def _shorter(self, piece: str) -> str:
+        """The next shorter piece that a piece starts with; empty if none."""
+        if (known := self.shorter.get(piece)) is None:
+            known = piece[:-1]
+            while known and known not in self.rank:
+                known = known[:-1]
+            self.shorter[piece] = known
+        return known
+
     def _known(self, text: str) -> list[str]:
         """Pieces of a text whose characters are all in the vocabulary."""
-        n = len(text)
-        found: list[list[str]] = [[] for _ in range(n)]
-        for end, p in self.trie.iter(text):
-            found[end - len(p) + 1].append(p)  # shortest first at each start
-        for f in found:
-            f.sort(key=len)
+        n, at = len(text), 0
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
-        left = [len(found[0])]
-        at = 0
-        while at < n:
-            options, k, last = found[at], left[-1], out[-1] if out else None
-            while k:
-                k -= 1
-                p = options[k]
-                end = at + len(p)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(None, p) and (last is None or self.fits(last, p)):
-                    left[-1] = k
-                    out.append(p)
-                    at = end
-                    left.append(len(found[at]) if at < n else 0)
-                    break
+        agree, fits, shorter = self.agree, self.fits, self._shorter
+        last, piece = None, self._longest(text, 0)
+        while True:
+            while piece:
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    ok = agree.get((last, piece))
+                    if ok or ok is None and fits(last, piece):
+                        break
+                piece = shorter(piece)
+            if piece:
+                out.append(piece)
+                if end == n:
+                    return out
+                at, last, piece = end, piece, self._longest(text, end)
             else:
                 if not out:
                     raise ValueError("no encoding found")
                 failed[at >> 3] |= 1 << (at & 7)
-                left.pop()
-                at -= len(out.pop())
-        return out
+                piece = out.pop()
+                at -= len(piece)
+                last, piece = out[-1] if out else None, shorter(piece)
 
     def encode_part(self, part: str) -> list[int]:
-        ids: list[int] = []
-        run: list[str] = []
-        for c in [*part, None]:
-            if c is not None and c in self.rank:
-                run.append(c)
+        ids, of = [], self.ids
+        for run in self.unknown.split(part):
+            if not run:
                 continue
-            if run:
-                ids += [self.ids[p] for p in self._known("".join(run))]
-                run = []
-            if c is not None:
-                ids += [self.byte[b] for b in c.encode()]
+            if run[0] in of:
+                ids += [of[p] for p in self._known(run)]
+            else:
+                ids += [self.byte[b] for b in run.encode()]
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -137,24 +173,27 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
     def _joined(self, ids: list[int]) -> str:
+        shown = [self.shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         out, raw = [], bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                raw.append(b)
+        for i, x in zip(ids, shown):
+            if x is None:
+                raw.append(self.byte_of[i])
                 continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(self.pieces[i].replace(SPACE, " "))
+            out.append(raw.decode(errors="replace"))
+            raw.clear()
+            out.append(x)
         return "".join(out) + raw.decode(errors="replace")
 
     def known(self, part: str) -> tuple[str, int, str]:
-        """(ids joined by commas, their number, their text) of a part."""
-        ids = self.encode_part(part)
-        value = (",".join(map(str, ids)), len(ids), self._joined(ids))
+        """(ids joined by commas, their number, their text) of a part; parts that come up again outlive others."""
+        if (value := self.older.get(part)) is None:
+            ids = self.encode_part(part)
+            value = (",".join(map(str, ids)), len(ids), self._joined(ids))
         if len(part) <= 64:
             if len(self.cache) >= CACHE_PARTS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[part] = value
         return value
 
@@ -172,11 +211,21 @@ class Codec:
         return [int(x) for x in joined.split(",")] if joined else []
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(model_path: str) -> Codec:
+    """One codec a Python worker: its caches serve all tasks that the worker runs."""
+    if model_path not in _codecs:
+        _codecs[model_path] = Codec(model_path)
+    return _codecs[model_path]
+
+
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, number of ids and digests of ids and decoded text of every whole text."""
 
     def run(batches):
-        codec, sha = Codec(model_path), hashlib.sha256
+        codec, sha = codec_of(model_path), hashlib.sha256
         for b in batches:
             rows = [codec.both(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
