@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import admission, ingest, observability, retrieval
+from lodestone.operators import admission, answers, evaluate, ingest, observability, retrieval, routing, scoring
 
 LEXICAL = [(1, "the and"), (2, "license cc by"), (3, "de la")]
 CUTOFF = "2024-01-20 00:00:00"
@@ -128,7 +128,88 @@ def with_preview(spark, d):
     return observability.retention(events(spark, d).select("event_id", "ts", F.concat("event_type", F.lit(":"), "k").alias("preview")), CUTOFF).select("event_id", "preview", "expired")
 
 
+
+SCORED = [(1, "the order of"), (2, "que de la")]
+
+
+def weighted_score(spark, d):
+    c = corpus(spark, d).select("chunk_id", "title", F.col("text").alias("search_text"), "domain")
+    got = scoring.scored(c, SCORED, normal=retrieval.simple_norm)
+    return retrieval.top_k(got.withColumn("score", F.round("score", 6)), 10, "chunk_id").select("query_id", "chunk_id", "score", "structured", "rank")
+
+
+def _scored_sql() -> str:
+    parts = []
+    for i, raw in SCORED:
+        q = scoring.Query.of(raw)
+        has = lambda x, t, w: f"CASE WHEN contains({x}, '{t}') THEN {float(w)}::DOUBLE ELSE 0 END"
+        terms = []
+        for field, w in (("t", 20), ("x", 12), ("g", 8)):
+            body = field == "x"
+            terms += [has(field, raw, w), *[has(field, t, max(0.25, w // 4)) for t in q.tokens]]
+            for p in q.phrases:
+                terms += [has(field, p, max(2, w // 2) if body else w), has(f"replace({field}, ' ', '')", p.replace(" ", ""), max(2, w // 3 if body else w // 2))]
+        n = "(" + " + ".join(f"CASE WHEN {' OR '.join(f'contains(a, {chr(39)}{t}{chr(39)})' for t in g)} THEN 1 ELSE 0 END" for g in q.groups) + ")"
+        cover = f"{n} * 12.0::DOUBLE + CASE WHEN {n} = {len(q.groups)} THEN 80 WHEN {n} >= {0.75 * len(q.groups)} THEN 28 ELSE 0 END"
+        share = f"(len(list_intersect(w, {list(q.tokens)}))::DOUBLE / len(w))"
+        prior = f"CASE WHEN len(w) = 0 THEN 0 WHEN {share} >= 1 THEN 40 WHEN {share} >= 0.5 THEN 18 * {share} ELSE 0 END"
+        broad = f"CASE WHEN length(t) > 0 AND contains('{raw}', t) THEN 15.0 / (chunk_id + 1) ELSE 0 END"
+        named = " OR ".join(f"contains(t, '{t}')" for g in q.groups for t in g)
+        parts.append(f"SELECT {i}::BIGINT AS query_id, chunk_id, round({' + '.join(terms)} + {cover} + {prior} + {broad}, 6) AS score, ({named}) AS structured FROM n")
+    norm = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    base = f"WITH b AS (SELECT doc_id AS chunk_id, {norm('split_part(text, chr(10), 1)')} AS t, {norm('text')} AS x, coalesce(lang, '') AS g FROM documents), n AS (SELECT *, t || chr(10) || x || chr(10) || g AS a, list_filter(list_distinct(string_split(t, ' ')), lambda v: length(v) >= 2) AS w FROM b)"
+    return base + f", s AS ({' UNION ALL '.join(parts)}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM s WHERE score > 0) WHERE rank <= 10"
+
+
+ROUTES = [("help", "license"), ("help", "email"), ("prose", "the"), ("prose", "and"), ("french", " les "), ("german", " und "), ("german", "nicht"), ("spanish", " que ")]
+
+
+def routed_turns(spark, d):
+    """Domains of every user turn by a term table."""
+    c = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), retrieval.simple_norm(F.col("text")).alias("q"))
+    got = routing.routed(c, ROUTES, ["prose", "help"])
+    return got.select("query_id", F.array_join("domains", ",").alias("domains"), F.aggregate(F.map_values("scores"), F.lit(0), lambda a, x: a + x).cast("long").alias("points"))
+
+
+def _routed_sql() -> str:
+    terms = ", ".join(f"('{a}', '{b}', {3 if len(b) > 4 else 2})" for a, b in ROUTES)
+    return f"""WITH q AS (SELECT conv_id || ':' || turn AS query_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS q FROM conversations WHERE role = 'user'),
+r(domain, term, n) AS (VALUES {terms}), s AS (SELECT query_id, domain, sum(n) AS n FROM q, r WHERE contains(q, term) GROUP BY ALL),
+b AS (SELECT query_id, max(n) AS best, sum(n)::BIGINT AS points FROM s GROUP BY 1),
+k AS (SELECT query_id, string_agg(domain, ',' ORDER BY domain) AS domains FROM s JOIN b USING (query_id) WHERE n >= greatest(2, best - 1) GROUP BY 1)
+SELECT query_id, CASE WHEN coalesce(best, 0) < 2 THEN 'prose,help' ELSE domains END AS domains, coalesce(points, 0) AS points FROM q LEFT JOIN b USING (query_id) LEFT JOIN k USING (query_id)"""
+
+
+STOP = ["the", "and", "of", "to", "de", "la", "und", "der"]
+
+
+def answer_validation(spark, d):
+    """Assistant turns as model answers that cite the turn before them and one that was never retrieved."""
+    c = table(spark, d, "conversations")
+    key = F.concat_ws(":", "conv_id", F.col("turn") - 1)
+    earlier = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("turn") - 1)), lambda i: F.concat_ws(":", "conv_id", i))
+    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("ANSWERED").alias("status"), F.col("text").alias("answer"), F.lit("odd").alias("confidence"), F.array(key, F.lit("none"), key).alias("cited_chunk_ids"))), F.lit("\n```"))
+    rows = answers.parse_answers(c.filter("role = 'assistant'").select("conv_id", "turn", raw.alias("raw"), earlier.alias("retrieved")))
+    return answers.validate(rows, stop=STOP).select("conv_id", "turn", "confidence", F.array_join("citations", ",").alias("citations"), "valid")
+
+
+def passage_report(spark, d):
+    """hit@5 and hit@1 of ranking documents by the number of five-word shingles they share with a passage."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " ")))
+    b = table(spark, d, "benchmark").select("item_id", words("text").alias("w")).filter("size(w) >= 5").select("item_id", F.explode(grams(F.col("w"))).alias("g"))
+    docs = table(spark, d, "documents").select("doc_id", words("text").alias("w")).filter("size(w) >= 5").select("doc_id", F.explode(grams(F.col("w"))).alias("g"))
+    score = docs.join(b, "g").groupBy(F.col("item_id").alias("query_id"), "doc_id").agg(F.count("*").alias("score"))
+    hits = retrieval.top_k(score, 5, "doc_id").select("query_id", "doc_id", "rank")
+    expected = retrieval_eval(spark, d).select(F.col("item_id").alias("query_id"), F.col("first_doc").alias("doc_id"))
+    return evaluate.hit_report(evaluate.expected_rank(hits, expected))
+
+
 QUERIES = {
+    "weighted_score": weighted_score,
+    "routed_turns": routed_turns,
+    "answer_validation": answer_validation,
+    "passage_report": passage_report,
     "lexical_topk": lexical_topk,
     "rrf_fusion": rrf_fusion,
     "vector_topk": vector_topk,
@@ -165,6 +246,18 @@ for _p, _r in [(r"[ \t]+", "' '"), (r" *\n *", "chr(10)"), (r"\n{3,}", "chr(10)
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {_r}, 'g')"
 
 ORACLE_SQL = {
+    "weighted_score": _scored_sql(),
+    "routed_turns": _routed_sql(),
+    "answer_validation": f"""WITH a AS (SELECT conv_id, turn, nullif(trim(text), '') AS answer FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, 'medium' AS confidence, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) ELSE '' END AS citations,
+  answer IS NOT NULL AND turn > 0 AND NOT regexp_matches(answer, '([,;:\\-–—…،؛]|\\.\\.\\.)\\s*$') AND regexp_split_to_array(answer, '\\s+')[-1] NOT IN ({", ".join(f"'{w}'" for w in STOP)}) AS valid FROM a""",
+    "passage_report": r"""WITH w AS (SELECT 1 AS k, item_id AS id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark UNION ALL SELECT 2, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') FROM documents),
+g AS (SELECT DISTINCT k, id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+s AS (SELECT b.id AS item_id, d.id AS doc_id, count(*) AS n FROM g b JOIN g d ON b.k = 1 AND d.k = 2 AND b.g = d.g GROUP BY ALL),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM s) WHERE rank <= 5),
+e AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+r AS (SELECT e.item_id, rank FROM e LEFT JOIN h USING (item_id, doc_id))
+SELECT count(*) AS items, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_at_k, round(avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_at_1, hit_at_k >= 0.8 AS passed FROM r""",
     "lexical_topk": _LEX + " SELECT query_id, chunk_id, score, rank FROM l WHERE rank <= 5",
     "rrf_fusion": _LEX
     + """, a AS (SELECT * FROM l WHERE rank <= 30), m AS (SELECT query_id, chunk_id, 1000 - chunk_id % 997 AS score, row_number() OVER (PARTITION BY query_id ORDER BY 1000 - chunk_id % 997 DESC, chunk_id) AS rank FROM a),
