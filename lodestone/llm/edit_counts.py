@@ -130,11 +130,22 @@ class Tree:
             self._build()
 
 
+_counters: dict[tuple[str, str], Counter] = {}
+
+
+def counter_of(ranks_path: str, pattern: str) -> Counter:
+    """One counter a Python worker: its cache serves all tasks that the worker runs."""
+    key = (ranks_path, pattern)
+    if key not in _counters:
+        _counters[key] = Counter(ranks_path, pattern)
+    return _counters[key]
+
+
 def counted(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Counts before and after the edits of each row of docs (doc_id, text, edits: array of (start, length, put))."""
 
     def run(batches):
-        counter = Counter(ranks_path, pattern)
+        counter = counter_of(ranks_path, pattern)
         for b in batches:
             out = []
             for i, text, edits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "edits"))):

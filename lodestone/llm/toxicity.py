@@ -14,6 +14,8 @@ rows with null labels or ids are not learnt from; with fewer than ten labelled r
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -137,10 +139,20 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
+_models: dict[str, Model] = {}
+
+
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    key = model and hashlib.sha256(b"".join(model.parts) + repr((model.gain, model.cost, model.curve.tolist(), model.carrier)).encode()).hexdigest()
+
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) if model else 0.0 for t in text], dtype=float)
+        if not model:
+            return pd.Series(0.0, index=text.index)
+        if key not in _models:  # one model a Python worker: its known windows serve all tasks
+            _models.clear()
+            _models[key] = model
+        return pd.Series([_models[key].score(t) for t in text], dtype=float)
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
