@@ -142,6 +142,14 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
 _models: dict[str, Model] = {}
 
 
+def _kept(key: str, model: Model) -> Model:
+    """One model a Python worker: the windows that it knows serve all tasks that the worker runs."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = model
+    return _models[key]
+
+
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     key = model and hashlib.sha256(b"".join(model.parts) + repr((model.gain, model.cost, model.curve.tolist(), model.carrier)).encode()).hexdigest()
 
@@ -149,10 +157,8 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         if not model:
             return pd.Series(0.0, index=text.index)
-        if key not in _models:  # one model a Python worker: its known windows serve all tasks
-            _models.clear()
-            _models[key] = model
-        return pd.Series([_models[key].score(t) for t in text], dtype=float)
+        own = _kept(key, model)
+        return pd.Series([own.score(t) for t in text], dtype=float)
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
