@@ -166,6 +166,24 @@ def _count(arrow):
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]]), pa.array([1], pa.int32()), pa.array([_blob(full)], pa.binary()), pa.array([_blob(n[at[hit]].astype(np.uint32))], pa.binary()), pa.array([_blob(doc[hit])], pa.binary())], ["batch", "kind", "a", "b", "c"])
 
 
+SKETCH = 8  # 64-bit words
+
+
+def _sketches(arrow):
+    """Per set: its tokens without partners, and bits that flip once for each other token. Differing bits of two sets
+    are at most the tokens by which they differ, so too many of them rule a pair out without its sets."""
+    for b in arrow:
+        words, alone = [], []
+        for n, t in zip(b.column("n").to_pylist(), b.column("toks").to_pylist()):
+            t = np.frombuffer(t, np.uint64)
+            bits = np.bincount((mix(t ^ SEEDS[0]) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+            words.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            alone.append(n - len(t))
+        flat = np.concatenate(words) if words else np.empty(0, np.int64)
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCH), pa.int32()), pa.array(flat, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(alone, pa.int32()), sketch], ["cid", "alone", "sketch"])
+
+
 SETS = "doc_id long, n int, sig binary, alive boolean, toks binary, dfs binary"
 
 
@@ -213,9 +231,9 @@ def _sets(rows):
 
 
 def _prefixes(arrow):
-    """Rows (cid, n, tok, score): the first order's prefix; score: how common a document's tokens are on average."""
+    """Rows (cid, n, tok, score, pos): the first order's prefix and the place of each token in it; score: how common a document's tokens are on average."""
     for b in arrow:
-        cid, size, tok, score = [], [], [], []
+        cid, size, tok, score, pos = [], [], [], [], []
         for i, n, t, f in zip(*(b.column(c).to_pylist() for c in ("cid", "n", "toks", "dfs"))):
             t, f = np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint32)
             p = n - need(n) + 1 - (n - len(t))
@@ -225,7 +243,8 @@ def _prefixes(arrow):
                 cid += [i] * len(own)
                 size += [n] * len(own)
                 score += [float(f.sum()) / n] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(size, pa.int32()), pa.array(np.concatenate(tok) if tok else np.empty(0, np.int64)), pa.array(score, pa.float64())], ["cid", "n", "tok", "score"])
+                pos += range(n - len(t), n - len(t) + len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(size, pa.int32()), pa.array(np.concatenate(tok) if tok else np.empty(0, np.int64)), pa.array(score, pa.float64()), pa.array(pos, pa.int32())], ["cid", "n", "tok", "score", "pos"])
 
 
 def _linked(n_a: int, t_a: np.ndarray, n_b: int, t_b: np.ndarray) -> bool:
@@ -289,7 +308,7 @@ def components(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
     every = written(back.repartition(buckets, "batch").mapInArrow(_gather, SETS))
     alive = every.filter("alive").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.max_by(F.struct("n", "toks", "dfs"), F.col("toks").isNotNull()).alias("s"))
     sets = written(alive.select("cid", "sig", "s.n", "s.toks", "s.dfs"))
-    posts = written(sets.select("cid", "n", "toks", "dfs").mapInArrow(_prefixes, "cid long, n int, tok long, score double"))
+    posts = written(sets.select("cid", "n", "toks", "dfs").mapInArrow(_prefixes, "cid long, n int, tok long, score double, pos int"))
     comp = sets.select("cid", F.col("cid").alias("comp"))
     for turn in range(rounds + 1):
         p = written(posts.join(comp, "cid"))
@@ -298,8 +317,14 @@ def components(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
             near = p.join(lists.select("tok", F.col("best.cid").alias("b"), F.col("best.comp").alias("bc"), F.col("best.n").alias("nb")), "tok").filter("comp <> bc")
             pairs = near.select(F.col("cid").alias("a"), "b", "n", "nb")
         else:
-            q = p.join(lists.select("tok"), "tok", "left_semi")
-            on = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT)
+            bits = sets.select("cid", "n", "toks").mapInArrow(_sketches, "cid long, alone int, sketch array<long>")
+            bits = bits.select("cid", "alone", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+            q = p.join(lists.select("tok"), "tok", "left_semi").join(bits, "cid")
+            total = F.col("x.n") + F.col("y.n")
+            least = total - F.floor(total * 100 / (100 + PERCENT))  # tokens both must share
+            apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.col("x.alone") + F.col("y.alone"))
+            rest = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos")  # noqa: E731  tokens from this place on
+            on = (apart <= total - 2 * least) & (F.least(rest("x"), rest("y")) >= least) & (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT)
             pairs = q.alias("x").join(q.alias("y"), on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("nb"))
         pairs = pairs.filter(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT).select("a", "b").distinct()
         links = _verified(pairs, sets)
