@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 LAST = float("inf")
-CACHE_PARTS = 250_000  # a bound on memory alone: parts beyond it are encoded anew
+CACHE_PARTS = 500_000  # a bound on memory alone: parts beyond it are encoded anew
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
