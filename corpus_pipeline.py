@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
 
-quality and toxicity drop the documents that they reject, dedup keeps one document of each group of linked ones, mixing
+quality and toxicity drop the documents that they reject, dedup keeps one row of each group of linked ones (the smallest id's), mixing
 drops documents outside the mix and repeats rows that it takes more than once, tokens returns ids' digests.
-Null texts fail the quality rules. Rows without a doc_id stand alone in dedup. Empty tables pass through.
+Null texts fail the quality rules. Dedup goes by text: an id with several texts keeps them, rows without an id link too,
+null and blank texts stand alone. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join, mixing, quality_rules, sentencepiece_codec, toxicity
-from lodestone.llm.common import table, written
+from lodestone.llm.common import WORD, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(jaccard_join.components(docs.filter("doc_id is not null").select("doc_id", "text")))
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    found = written(jaccard_join.classes(docs.select("doc_id", "text")).filter("label is not null"))
+    keep = found.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_set"))
+    kept = rows.filter("_set").alias("r").join(keep.alias("k"), F.col("r._id").eqNullSafe(F.col("k._id")) & (F.col("r._mark") == F.col("k._mark")), "left_semi").dropDuplicates(["_id", "_mark"])
+    return kept.union(rows.filter("not _set")).select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

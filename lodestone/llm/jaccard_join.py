@@ -13,15 +13,17 @@ left, of different components with a shared prefix token, are all verified, so n
 
 Null and blank texts have no set and link with nothing; fewer than five words make one shingle. Equal sets are one class
 (ties: the smallest id stands for it). Repeated rows link; an empty table gives an empty result. No caps on candidates.
+Classes are numbered apart from ids: an id may repeat with other texts or be null. A component without any id has a null
+component_id; one id with texts that don't link gives components of one component_id, which `classes` tells apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,15 +83,18 @@ def _batches(n_buckets: int, k: int):
 
     def run(arrow):
         shingle = Shingler(k)
-        ids, sizes, rep, sets, by_sig, tokens = [], [], [], [], {}, 0
+        task, number = TaskContext.get().partitionId(), 0
+        ids, marks, sizes, rep, sets, by_sig, tokens = [], [], [], [], [], {}, 0
 
         def out():
-            nonlocal ids, sizes, rep, sets, by_sig, tokens
+            nonlocal number, ids, marks, sizes, rep, sets, by_sig, tokens
             if not ids:
                 return None
-            uid = hashlib.blake2b(struct.pack(f"<{min(len(ids), 64)}q", *ids[:64]) + struct.pack("<2q", len(ids), ids[-1]), digest_size=16).hexdigest()
+            uid = hashlib.blake2b(f"{task},{number}".encode(), digest_size=16).hexdigest()  # no other batch has it, a retry has
+            number += 1
             sig = b"".join(by_sig)
-            rows = [(int(uid[:8], 16) % n_buckets, uid, 0, _blob(np.array(ids, np.int64)), _blob(np.array([sizes, rep], np.int32)), sig)]
+            head = _blob(np.array([i or 0 for i in ids], np.int64)) + _blob(np.array(marks, np.int64)) + _blob(np.array([i is None for i in ids]))
+            rows = [(int(uid[:8], 16) % n_buckets, uid, 0, head, _blob(np.array([sizes, rep], np.int32)), sig)]
             if sets:
                 tok = np.concatenate(sets)
                 doc = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
@@ -103,14 +108,15 @@ def _batches(n_buckets: int, k: int):
                         s = low[cuts[b] : cuts[b + 1]]
                         packed = s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()  # 48 bits; the bucket holds more
                         rows.append((b, uid, 1, packed, _blob(doc[cuts[b] : cuts[b + 1]].astype(np.uint16 if len(sets) < 65536 else np.uint32)), b""))
-            ids, sizes, rep, sets, by_sig, tokens = [], [], [], [], {}, 0
+            ids, marks, sizes, rep, sets, by_sig, tokens = [], [], [], [], [], {}, 0
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], ["to", "batch", "kind", "a", "b", "c"])
 
         for b in arrow:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for i, m, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
                 s = shingle(t)
                 ids.append(i)
+                marks.append(m)
                 sizes.append(len(s))
                 if not len(s):
                     rep.append(-1)
@@ -184,7 +190,7 @@ def _sketches(arrow):
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(alone, pa.int32()), sketch], ["cid", "alone", "sketch"])
 
 
-SETS = "doc_id long, n int, sig binary, alive boolean, toks binary, dfs binary"
+SETS = "doc_id long, mark long, n int, sig binary, alive boolean, toks binary, dfs binary"
 
 
 def _gather(arrow):
@@ -195,39 +201,42 @@ def _gather(arrow):
             by_batch.setdefault(r["batch"], []).append(r)
     while by_batch:
         _, rows = by_batch.popitem()
-        heads = [r for r in rows if not r["kind"]]
+        head, *more = [r for r in rows if not r["kind"]]
+        if more:
+            raise ValueError("two batches have one key")
         rows = [r for r in rows if r["kind"]]
-        for head in heads[:1]:
-            ids = np.frombuffer(head["a"], np.int64)
-            sizes, rep = np.frombuffer(head["b"], np.int32).reshape(2, -1)
-            tok = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]) if rows else np.empty(0, np.uint64)
-            df = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows]) if rows else np.empty(0, np.uint32)
-            doc = np.concatenate([np.frombuffer(r["c"], np.uint32) for r in rows]) if rows else np.empty(0, np.uint32)
-            order = np.argsort(doc, kind="stable")
-            tok, df, doc = tok[order], df[order], doc[order]
-            n_sets = len(head["c"]) // 16
-            cuts = np.searchsorted(doc, np.arange(n_sets + 1))
-            out, first = [], set()
-            for i, n, k in zip(ids.tolist(), sizes.tolist(), rep.tolist()):
-                if k < 0:
-                    out.append((i, 0, None, False, None, None))
-                    continue
+        many = len(head["a"]) // 17
+        ids, marks = np.frombuffer(head["a"], np.int64, 2 * many).reshape(2, -1).tolist()
+        ids = [None if x else i for i, x in zip(ids, head["a"][16 * many :])]
+        sizes, rep = np.frombuffer(head["b"], np.int32).reshape(2, -1)
+        tok = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]) if rows else np.empty(0, np.uint64)
+        df = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows]) if rows else np.empty(0, np.uint32)
+        doc = np.concatenate([np.frombuffer(r["c"], np.uint32) for r in rows]) if rows else np.empty(0, np.uint32)
+        order = np.argsort(doc, kind="stable")
+        tok, df, doc = tok[order], df[order], doc[order]
+        n_sets = len(head["c"]) // 16
+        cuts = np.searchsorted(doc, np.arange(n_sets + 1))
+        out, first = [], set()
+        for i, m, n, k in zip(ids, marks, sizes.tolist(), rep.tolist()):
+            if k < 0:
+                out.append((i, m, 0, None, False, None, None))
+            else:
                 sig = head["c"][16 * k : 16 * k + 16]
                 alive = int(cuts[k + 1] - cuts[k]) >= need(n)
                 give = alive and k not in first
                 first.add(k)
                 t, f = tok[cuts[k] : cuts[k + 1]], df[cuts[k] : cuts[k + 1]]
-                out.append((i, n, sig, alive, _blob(t) if give else None, _blob(f) if give else None))
-                if len(out) == 2000:
-                    yield _sets(out)
-                    out = []
-            if out:
+                out.append((i, m, n, sig, alive, _blob(t) if give else None, _blob(f) if give else None))
+            if len(out) == 2000:
                 yield _sets(out)
+                out = []
+        if out:
+            yield _sets(out)
 
 
 def _sets(rows):
     c = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], ["doc_id", "n", "sig", "alive", "toks", "dfs"])
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())], ["doc_id", "mark", "n", "sig", "alive", "toks", "dfs"])
 
 
 def _prefixes(arrow):
@@ -299,15 +308,20 @@ def united(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    return classes(docs, k, rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
+    """As components, with `mark`, the text's xxhash64, and `label`, which each component has for itself (null without a set)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
     sent = docs.mapInArrow(_batches(buckets, k), "to int, batch string, kind int, a binary, b binary, c binary")
     back = sent.repartition(buckets, "to").mapInArrow(_count, "batch string, kind int, a binary, b binary, c binary")
     every = written(back.repartition(buckets, "batch").mapInArrow(_gather, SETS))
-    alive = every.filter("alive").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.max_by(F.struct("n", "toks", "dfs"), F.col("toks").isNotNull()).alias("s"))
-    sets = written(alive.select("cid", "sig", "s.n", "s.toks", "s.dfs"))
+    alive = every.filter("alive").groupBy("sig").agg(F.min("doc_id").alias("low"), F.max_by(F.struct("n", "toks", "dfs"), F.col("toks").isNotNull()).alias("s"))
+    sets = written(alive.select(F.monotonically_increasing_id().alias("cid"), "low", "sig", "s.n", "s.toks", "s.dfs"))
     posts = written(sets.select("cid", "n", "toks", "dfs").mapInArrow(_prefixes, "cid long, n int, tok long, score double, pos int"))
     comp = sets.select("cid", F.col("cid").alias("comp"))
     for turn in range(rounds + 1):
@@ -330,9 +344,12 @@ def components(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
         links = _verified(pairs, sets)
         comp = united(comp, links)
     # a class's component: the smallest id of its documents; classes that are not alive stand alone
-    by_sig = sets.join(comp, "cid").select("sig", "comp")
-    dead = every.filter("n > 0 and not alive").groupBy("sig").agg(F.min("doc_id").alias("comp"))
-    return every.join(by_sig.union(dead), "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    by_sig = written(sets.join(comp, "cid").select("sig", "comp", "low"))
+    named = by_sig.groupBy("comp").agg(F.min("low").alias("component_id"), F.min("sig").alias("label"))
+    by_sig = by_sig.join(named, "comp").select("sig", "component_id", "label")
+    dead = every.filter("n > 0 and not alive").groupBy("sig").agg(F.min("doc_id").alias("component_id")).withColumn("label", F.col("sig"))
+    found = every.select("doc_id", "mark", "n", "sig").join(by_sig.union(dead), "sig", "left")
+    return found.select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -64,6 +64,25 @@ def test_jaccard_join(spark):
     assert jaccard_join.components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_join_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    texts = [prose(i // 2, 70) + (" end" if i % 2 else "") for i in range(12)] + ["", None] + [prose(90 + i, 70) for i in range(10)]
+    for i in range(10):  # shares 66 of 132 shingles and no more: half of the set, counted twice it would link
+        texts.append(prose(90 + i, 70) + " " + prose(190 + i, 60))
+    d = docs(spark, texts).coalesce(1)
+    got = jaccard_join.components(d.union(d)).collect()
+    want = linked_groups(texts)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((i, *v) for i, v in want.items() for _ in range(2))
+    same_id = d.withColumn("doc_id", F.lit(7).cast("long"))
+    got = jaccard_join.classes(same_id.union(d).union(d.withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert len(got) == 3 * len(texts) and len({x.label for x in got if x.label}) == len({v[1] for v in want.values() if v[0]})
+    alone = jaccard_join.components(d.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert len(alone) == len(texts) and {x.component_id for x in alone} == {None}
+    kept = corpus_pipeline.dedup(spark, same_id.union(d), SF).collect()
+    assert sum(bool(x.text) for x in kept) == len({v[1] for v in want.values() if v[0]}) and sum(not x.text for x in kept) == 4
+
+
 def test_sentencepiece(spark):
     import sentencepiece as sp
 
