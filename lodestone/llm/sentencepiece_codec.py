@@ -2,7 +2,7 @@
 
 A text is cut before each space run, around line breaks and characters that no piece holds, and between a letter and a
 mark where no piece has the two side by side; no merge crosses such a cut (checked when the model is loaded). Each part is encoded left to right: take the
-longest piece that an Aho-Corasick automaton finds at the position, accept it if re-merging it with its left neighbour
+longest piece that a walk down the vocabulary's trie finds at the position, accept it if re-merging it with its left neighbour
 gives the same two pieces, else try the next shorter one; when none is left, drop the last piece and mark its end in a
 bitfield so that no other path tries that position again. A sequence whose pieces all agree with their neighbours is
 the merge order's own result. Characters outside the vocabulary become UTF-8 byte pieces.
@@ -49,12 +49,15 @@ class Codec:
         self.trie = ahocorasick.Automaton()
         for p in self.rank:
             self.trie.add_word(p, p)
-        self.trie.make_automaton()
         self.shown = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.widest, self.shorter = max(map(len, self.rank)), {}
-        # marks that no piece holds right after a letter: no merge joins a word to them
-        marks = "".join(c for c in ".,;:!?" if not any(a.isalpha() and b == c for p in self.rank for a, b in zip(p, p[1:])))
-        word = f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+        # marks that no piece holds right after a letter: no merge joins a word to them. The expression's class also takes
+        # numeric characters such as superscripts; no cut is made after those that a piece joins to a mark
+        letter = re.compile(r"[^\W\d_]")
+        pairs = {(a, b) for p in self.rank for a, b in zip(p, p[1:]) if b in ".,;:!?" and letter.match(a)}
+        marks = "".join(c for c in ".,;:!?" if not any(a.isalpha() and b == c for a, b in pairs))
+        joined = "".join(sorted({re.escape(a) for a, b in pairs if b in marks}))
+        word = f"{SPACE}*[^\\W\\d_]+(?=[{marks}]){f'(?<![{joined}])' if joined else ''}|" if marks else ""
         self.part = re.compile(f"\n|{word}{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         held = "".join(re.escape(c) for c in self.rank if len(c) == 1)
         self.unknown = re.compile(f"([^{held}]+)")
@@ -113,7 +116,7 @@ class Codec:
         return known
 
     def _longest(self, text: str, at: int) -> str:
-        """The longest piece at a place: the automaton's longest path, cut back to a piece."""
+        """The longest piece at a place: the trie's longest path, cut back to a piece."""
         end = at + self.trie.longest_prefix(text[at : at + self.widest])
         while text[at:end] not in self.rank:
             end -= 1

@@ -98,6 +98,17 @@ def test_sentencepiece(spark):
     assert sentencepiece_codec.encoded(docs(spark, texts).limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_sentencepiece_marks_after_any_character():
+    import sentencepiece as sp
+
+    path = P.path("piece_bpe_32k.model")
+    lib, codec = sp.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    texts = ["m².", "cm².", "x ². y", "10 km². Then", "a²b².c", "²²..", "ab².,;:!?"]
+    chars = {c for p in codec.rank for c in p if c.isalnum()} | set("²³¹¼½¾⅓①②⁴₂Ⅳ〇一١९٣")
+    texts += [f"{w}{c}{m}{z}" for c in sorted(chars) for m in ".,;:!?" for w, z in (("", ""), ("km", ""), ("a ", "b"))]
+    assert [t for t in texts if codec.encode(t) != lib.encode(t)] == []
+
+
 def test_mixing(spark):
     quota = mixing.targets({"a": 100, "b": 10, None: 1000})
     assert quota["a"] == pytest.approx(1110 * 1 / 6 + (1110 * 2 / 6 - 30) / 4) and quota["b"] == 30 and sum(quota.values()) == pytest.approx(1110)
