@@ -7,8 +7,8 @@ dictionary saves at least `gain` bytes over the ordinary one and needs at most `
 logistic curve over hits and their share turn windows into a score; both are calibrated on rows of
 the sample that the dictionaries did not see.
 
-Only a bounded sample of labelled rows is used to fit (`SAMPLE` rows a class, smallest hash of the id first); every whole
-text is scored. Null and blank texts have no windows and get the curve's value for no hit. Equal texts get equal scores;
+Only a bounded sample of labelled rows is used to fit (`SAMPLE` rows a class, smallest hash of the id first), with whole
+texts; of texts of one label that link by op10's measure one is learnt from. Every whole text is scored. Null and blank texts have no windows and get the curve's value for no hit. Equal texts get equal scores;
 rows with null labels or ids are not learnt from; with fewer than ten labelled rows of a class every score is 0.
 """
 
@@ -22,7 +22,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 2500, 20_000_000  # bounds of what is fitted on
+from lodestone.llm import jaccard_join
+
+SAMPLE = 2500  # rows a class that are fitted on, with their whole texts
 DICT_BYTES, CUT, CACHE_WORDS = 16_384, 0.7, 400_000
 OUT = "doc_id long, score double"
 
@@ -86,6 +88,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(self.gains(text)) @ self.curve, -30, 30))))
 
 
+def copied(texts: list[str | None]) -> np.ndarray:
+    """Marks each text that links, as op10 has it, with an earlier unmarked one; candidates share a token of their rarest ones."""
+    shingle = jaccard_join.Shingler()
+    sets = [shingle(t) for t in texts]
+    every, df = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    out, first = np.zeros(len(sets), bool), {}
+    for i, s in enumerate(sets):
+        n = len(s)
+        prefix = s[np.argsort(df[np.searchsorted(every, s)], kind="stable")][: n - jaccard_join.need(n) + 1].tolist() if n else []
+        near = {j for x in prefix for j in first.get(x, ())}
+        out[i] = any(100 * (both := len(np.intersect1d(s, sets[j], assume_unique=True))) >= jaccard_join.PERCENT * (n + len(sets[j]) - both) for j in near if jaccard_join.need(max(n, len(sets[j]))) <= min(n, len(sets[j])))
+        for x in () if out[i] else prefix:
+            first.setdefault(x, []).append(i)
+    return out
+
+
 def fit(texts: list[str], labels: list[int]) -> Model | None:
     y = np.array(labels)
     if min((y == 1).sum(), (y == 0).sum()) < 10:
@@ -93,17 +111,18 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     learn = np.arange(len(y)) % 2 == 0
     seen: dict[str, list[int]] = {}
     count: dict[str, int] = {}
-    openings: set = set()  # near copies of one text would pass for many texts
-    for t, v in zip(np.array(texts, object)[learn], y[learn]):
-        if (opening := (t or "")[:40]) in openings:
-            continue
-        openings.add(opening)
+    own_texts = [t for t, x in zip(texts, learn) if x]
+    copies = np.zeros(len(own_texts), bool)  # near copies of one text would pass for many texts
+    for v in (0, 1):
+        at = np.flatnonzero(y[learn] == v)
+        copies[at] = copied([own_texts[i] for i in at])
+    for t, v in [(t, v) for t, v, c in zip(own_texts, y[learn], copies) if not c]:
         w = [x.strip(".,;:!?") for x in (t or "").lower().split()]
         for x in set(w):
             seen.setdefault(x, [0, 0])[v] += 1
         for x in w if v == 0 else ():
             count[x] = count.get(x, 0) + 1
-    n = [max(1, int((y[learn] == v).sum())) for v in (0, 1)]
+    n = [max(1, int((y[learn][~copies] == v).sum())) for v in (0, 1)]
     rate = {w: (c[1] / n[1], (c[0] + 0.5) / n[0]) for w, c in seen.items() if len(w) > 3}
     toxic = {w: seen[w][1] for w, (t, o) in rate.items() if seen[w][1] >= max(3, 0.015 * n[1]) and t > 10 * o}
     own = sorted((w for w, (t, o) in rate.items() if w not in toxic and o > t), key=lambda w: -seen[w][0])[:1500]
@@ -135,7 +154,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     take = [known.filter(f"toxic = {v}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
     ids = F.broadcast(take[0].union(take[1]))  # at most 2 * sample rows
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS // sample).alias("text")).join(ids, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(4 * sample).collect()
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(4 * sample).collect()
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 

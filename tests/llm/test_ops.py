@@ -180,6 +180,18 @@ def test_toxicity(spark):
     assert toxicity.query(docs(spark, texts).limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_learns_behind_headers_and_in_long_texts(spark):
+    r = random.Random(4)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "aeioulmn"]
+    text = lambda bad: "one header that all of these texts share " + " ".join(r.choice(words) for _ in range(2500)) + " " + " ".join(r.choice(["wretchful", "blastedly"]) if bad and r.random() < 0.1 else r.choice(words) for _ in range(60))
+    texts = [text(i % 2) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(160)], "doc_id long, quality int, toxic int")
+    held = [x for x in toxicity.query(docs(spark, texts), labels).collect() if x.held_out]
+    assert sum(x.predicted == x.doc_id % 2 for x in held) >= 0.9 * len(held)
+    base = prose(1, 100)
+    assert toxicity.copied([base, base + " end", prose(2, 100), None, None, "a b", base[:60] + prose(3, 90)]).tolist() == [False, True] + [False] * 5
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.query(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
