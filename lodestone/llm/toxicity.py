@@ -1,7 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
 Both dictionaries start with the same ordinary background, so that ordinary windows cost the same with either; each ends
-with passages that are over-represented in its own class, trained on that class's samples. A text is cut into windows
+with words that are over-represented in its own class, chosen by their rates in the sample: toxic phrases of ordinary words,
+words of up to 3 letters and words rarer than the rates allow can't score (README: figures of whole-text dictionaries). A text is cut into windows
 of one word, each compressed behind the same carrier phrase with both dictionaries; a window is a hit when the toxic
 dictionary saves at least `gain` bytes over the ordinary one and needs at most `cost` bytes. Both thresholds and a
 logistic curve over hits and their share turn windows into a score; both are calibrated on rows of
