@@ -228,6 +228,31 @@ def test_fingerprints(spark):
     assert audio_fingerprint.query(v.limit(0)).count() == 0
 
 
+def test_fingerprints_against_brute_force(spark):
+    import numpy as np
+
+    r = random.Random(6)
+    make = lambda n: [r.gauss(0, 0.125) for _ in range(n)]
+    vectors = []
+    for _ in range(12):
+        passage = make(16)
+        base = passage + make(16) + passage + make(16)  # repeats a passage
+        vectors += [base, base, base[10:] + make(10), base[24:] + make(24)]
+        vectors += [[x if r.random() > 0.08 else y for x, y in zip(base, make(64))] for _ in range(3)]
+    v = spark.createDataFrame([(i * 100, x) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    prints = [audio_fingerprint.fingerprint(audio_fingerprint.samples(x)) for x in vectors]
+    first = {}
+    of = [first.setdefault(p.tobytes(), i) for i, p in enumerate(prints)]
+    want = set()
+    for i, j in itertools.permutations(range(len(prints)), 2):
+        n = len(prints[i])
+        errors = [np.bitwise_count(prints[i][max(0, -o) :][: n - abs(o)] ^ prints[j][max(0, o) :][: n - abs(o)]).sum() / (32 * (n - abs(o))) for o in range(-(n // 2), n // 2 + 1)]
+        if min(errors) <= 0.25 and (of[j] == j or of[i] == of[j]):
+            want.add((i * 100, j * 100, round(float(min(errors)), 6)))
+    got = {(x.query_id, x.vec_id, x.bit_error) for x in audio_fingerprint.query(v).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 200
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
