@@ -16,10 +16,13 @@ def top_groups(events: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def lower_percentile(values: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """sorted[floor((n - 1) p)] of each key, by rank so that no group is gathered."""
-    w = Window.partitionBy(key)
-    ranked = values.filter(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
-    return ranked.filter(F.col("_r") == F.floor((F.col("_n") - 1) * p) + 1).select(key, F.col("_n").alias("n"), value)
+    """sorted[floor((n - 1) p)] of each key: running sums over its distinct values, which are counted first."""
+    counts = values.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_k"))
+    totals = counts.groupBy(key).agg(F.sum("_k").alias("n"))
+    upto = F.sum("_k").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.floor((F.col("n") - 1) * p) + 1
+    ranked = counts.withColumn("_r", upto).alias("c").join(totals.alias("t"), F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")))
+    return ranked.filter((F.col("_r") >= place) & (F.col("_r") - F.col("_k") < place)).select(f"c.{key}", "n", value)
 
 
 def usage_counters(events: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def retrieval_eval(spark, d):
 
 def quota_admission(spark, d):
     e = events(spark, d).select("event_id", "ts", F.col("user_id").alias("actor"), (F.col("user_id") % 11).alias("network"))
-    return admission.reserve(e, (3, 30, 250))
+    return admission.reserve(e, (3, 30, 250), one_network=True)
 
 
 def leaky_rpm(spark, d):

@@ -46,6 +46,38 @@ def test_spacing_batch_equals_stream(spark, tmp_path):
     assert sorted(spark.table("spaced").collect()) == batch
 
 
+def test_admission_without_gathering(spark):
+    import random
+
+    r = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=r.randrange(4000)), a, None if a is None else a % 5 or None) for i in range(3000) for a in [None if r.random() < 0.05 else 0 if r.random() < 0.3 else r.randrange(60)]]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp, actor long, network long")
+    for limits in ((3, 30, 120), (3, 10, 1000), (50, 20, 60), (4, 1000, 1000)):
+        cut = admission.reserve(e, limits, one_network=True)
+        assert sorted(cut.collect(), key=str) == sorted(admission.reserve(e, limits).collect(), key=str)
+    k = e.select("event_id", (F.col("event_id") % 3).alias("key"), "ts")
+    for plan in (cut, admission.leaky(k, 1)):
+        assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    got = {x.event_id: x.accepted for x in admission.leaky(k, 1).collect()}
+    for key in range(3):
+        mine = sorted((t, i) for i, t, _, _ in rows if i % 3 == key)
+        ok = list(admission.spaced_rows([int(t.timestamp() * 1000) for t, _ in mine], 60_000))
+        assert [got[i] for _, i in mine] == ok
+
+
+def test_lower_percentile_without_ranks(spark):
+    from lodestone.operators import observability
+
+    rows = [(k, v) for k, n in ((1, 1), (2, 10), (None, 7), (3, 100)) for v in [None, *[(i * 7) % 5 for i in range(n)]]]
+    d = spark.createDataFrame(rows, "k long, v long")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = observability.lower_percentile(d, "k", "v", p)
+        assert "row_number" not in got._jdf.queryExecution().toString()
+        want = {k: sorted(v for x, v in rows if x == k and v is not None) for k, _ in rows}
+        assert {x.k: (x.n, x.v) for x in got.collect()} == {k: (len(v), v[int((len(v) - 1) * p)]) for k, v in want.items()}
+
+
 def test_chunks():
     assert ingest.split_text("# A\nx\n# B\ny", 6) == ["# A\nx", "# B\ny"]
     assert ingest.split_text(None) == [] and ingest.split_text("a" * 50, 10) == ["a" * 50]
