@@ -126,6 +126,31 @@ def test_mixing(spark):
     assert mixing.query(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_mixing_shared_members(spark):
+    r = random.Random(8)
+    held = [["a"], ["a", "b"], ["b", "a", "b"], ["b"], ["b", None], ["a", "b", None]]
+    data = [(i, r.randrange(1, 20), r.choices(held, (60, 20, 10, 4, 4, 2))[0]) for i in range(1500)]
+    key = lambda m: tuple(sorted(set(m), key=lambda s: (s is None, s or "")))
+    patterns, sizes = {}, {}
+    for _, n, m in data:
+        patterns[key(m)] = patterns.get(key(m), 0) + n
+    for p, n in patterns.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + n
+    quota = mixing.targets(sizes)
+    flow = mixing.flow(patterns, quota)
+    sent = {p: sum(x.values()) for p, x in flow.items()}
+    assert len(patterns) == 5 and any(sum(x.get(s, 0) > 0 for x in flow.values()) > 1 for s in sizes)  # patterns share a source
+    got = mixing.mixed(spark.createDataFrame(data, "doc_id long, size long, members array<string>")).collect()
+    assert sorted(x.doc_id for x in got) == list(range(1500)) and all(x.taken % x["size"] == 0 and x.taken <= 3 * x["size"] for x in got)
+    for p in patterns:
+        mine = [x for x in got if key(x.members) == p]
+        assert abs(sum(x.taken for x in mine) - sent[p]) <= 20
+        assert {x.source_size for x in mine} == {sum(sizes[s] for s in p)}
+        passes = [x.taken // x["size"] for x in mine]
+        assert max(passes) - min(passes) <= 1  # nothing repeats again while others wait
+
+
 def test_quality(spark):
     line = "the cat and a dog of it"
     texts = [None, "", "\n\n", "a b a b a b a b", "\n".join([line] * 20), prose(1, 100) + " the of", prose(2, 20000), "#" * 500, line, line]
