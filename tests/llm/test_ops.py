@@ -249,7 +249,9 @@ def test_fingerprints(spark):
     got = {x.query_id: x for x in audio_fingerprint.query(v).collect()}
     assert (got[0].vec_id, got[0].offset) == (500, -10) and got[0].bit_error < 0.1
     same = audio_fingerprint.query(v.withColumn("vec_id", F.col("vec_id") * 10)).filter("query_id = 300").first()
-    assert same.vec_id == 6200 and same.bit_error == 0
+    assert same.vec_id == 6200 and same.bit_error == 0 and same.found == 1
+    twice = audio_fingerprint.query(v.union(v.withColumn("embedding", F.transform("embedding", lambda x: F.when(x > 9, x).otherwise(x)))).withColumn("hits", F.lit("clash")))
+    assert (0, 500) in {(x.query_id, x.vec_id) for x in twice.collect()}
     assert audio_fingerprint.query(v.limit(0)).count() == 0
 
 
@@ -272,10 +274,33 @@ def test_fingerprints_against_brute_force(spark):
     for i, j in itertools.permutations(range(len(prints)), 2):
         n = len(prints[i])
         errors = [np.bitwise_count(prints[i][max(0, -o) :][: n - abs(o)] ^ prints[j][max(0, o) :][: n - abs(o)]).sum() / (32 * (n - abs(o))) for o in range(-(n // 2), n // 2 + 1)]
-        if min(errors) <= 0.25 and (of[j] == j or of[i] == of[j]):
+        if min(errors) <= audio_fingerprint.MOST_ERRORS and (of[j] == j or of[i] == of[j]):
             want.add((i * 100, j * 100, round(float(min(errors)), 6)))
-    got = {(x.query_id, x.vec_id, x.bit_error) for x in audio_fingerprint.query(v).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 200
+    got = {(x.query_id, x.vec_id, x.bit_error) for x in audio_fingerprint.matches(v, v).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 100
+    report = audio_fingerprint.query(v, best=3).collect()
+    assert all(x["rank"] <= 3 for x in report) and {x.query_id for x in report} == {q for q, _, _ in got}
+
+
+def test_fingerprints_in_noise(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    clean = [audio_fingerprint.samples(r.normal(0, 0.125, 64)) for _ in range(150)]
+    prints, queries, keys, want = [], [], [], set()
+    for i, x in enumerate(clean):
+        prints.append((i, audio_fingerprint.fingerprint(x).tolist()))
+        for k, sd in enumerate((0.25, 0.5, 0.75, 1.0, 1.25, 1.5)):  # noise up to twice the power of the tone
+            values = audio_fingerprint.levels(x + r.normal(0, sd, len(x)))
+            mine, q = audio_fingerprint.packed(values), 1000 * (k + 1) + i
+            queries.append((q, mine.tolist()))
+            keys += [(q, int(v), p.tolist()) for v, p in zip(*audio_fingerprint.probe_rows(values))]
+            if np.bitwise_count(mine ^ np.array(prints[i][1], np.uint32)).mean() / 32 <= audio_fingerprint.MOST_ERRORS:
+                want.add((q, i))
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, print array<long>")
+    found = audio_fingerprint.aligned(frame(prints), frame(queries), spark.createDataFrame(keys, "query_id long, key long, qs array<int>")).collect()
+    got = {(x.query_id, x.vec_id) for x in found if x.offset == 0}
+    assert len(want) > 450 and len(want & got) >= 0.97 * len(want)
 
 
 def test_pipeline(spark):
