@@ -13,9 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a session that runs on one
+    machine gets a temporary one; a cluster's session raises, since its machines share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -36,3 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, whatever the optimizer makes of projections."""
     return F.transform(F.array(value), body)[0]
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make()'s value, kept by the Python worker for the tasks that ask for the same key next; another key lets it go, so that
+    the stages of a pipeline don't add up in the workers that they share."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

@@ -3,8 +3,9 @@
 Tokens are hashed 5-word shingles. Any global order of tokens gives a necessary filter: two sets of Jaccard >= T share a
 token in their prefixes of n - ceil(T n) + 1 tokens. All orders here put tokens that one document alone has first, which
 ends most documents at once: whose prefix holds only such tokens links with nothing. The first order goes on by
-ascending document frequency, two more by seeded hashes. Candidates come from shared prefix tokens of the first order,
-must then share prefix tokens under each other order as well, and are verified exactly on their whole sets.
+ascending document frequency, two more by seeded hashes. Candidates come from shared prefix tokens of the first order
+and are cut to those that share prefix tokens under each other order as well; only then are whole sets joined in and
+verified exactly (a token is its 48 low hash bits and its bucket, at most 54 bits and more with more buckets).
 
 Steps: (1) tasks hash whole texts and send packed tokens to buckets; equal sets in a batch go once. (2) Buckets find
 tokens held more than once and send counts back by batch. (3) Documents left are joined: in star rounds every posting
@@ -33,6 +34,7 @@ K, PERCENT, BATCH_TOKENS, BUCKET_CHARS = 5, 75, 500_000, 12_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 CACHE_WORDS = 150_000  # bounds memory alone
+SALTS = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -190,6 +192,7 @@ def _sketches(arrow):
         yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(alone, pa.int32()), sketch], ["cid", "alone", "sketch"])
 
 
+ORDERS = "cid long, o0 binary, o1 binary"
 SETS = "doc_id long, mark long, n int, sig binary, alive boolean, toks binary, dfs binary"
 
 
@@ -256,20 +259,38 @@ def _prefixes(arrow):
         yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(size, pa.int32()), pa.array(np.concatenate(tok) if tok else np.empty(0, np.int64)), pa.array(score, pa.float64()), pa.array(pos, pa.int32())], ["cid", "n", "tok", "score", "pos"])
 
 
+def _orders(arrow):
+    """Rows (cid, o0, o1): a set's prefix under each seeded order, its tokens without partners first in every order."""
+    for b in arrow:
+        cols = [[] for _ in SEEDS]
+        for n, t in zip(b.column("n").to_pylist(), b.column("toks").to_pylist()):
+            t = np.frombuffer(t, np.uint64)
+            p = n - need(n) + 1 - (n - len(t))
+            for col, seed in zip(cols, SEEDS):
+                col.append(_blob(t[:0] if p <= 0 else t if p >= len(t) else t[np.argpartition(mix(t ^ seed), p - 1)[:p]]))
+        yield pa.RecordBatch.from_arrays([b.column("cid"), *(pa.array(c, pa.binary()) for c in cols)], ["cid", *(f"o{k}" for k in range(len(SEEDS)))])
+
+
+def _shared(arrow):
+    """Candidates whose prefixes share a token under every seeded order."""
+    for b in arrow:
+        ok = np.ones(b.num_rows, bool)
+        for k in range(len(SEEDS)):
+            for i, (x, y) in enumerate(zip(b.column(f"a{k}").to_pylist(), b.column(f"b{k}").to_pylist())):
+                ok[i] = ok[i] and len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) > 0
+        mask = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+
+
+def ordered(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """The candidates (a, b) left after intersecting with the filters of the other orders."""
+    side = lambda x: orders.select(F.col("cid").alias(x), *(F.col(f"o{k}").alias(f"{x}{k}") for k in range(len(SEEDS))))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_shared, "a long, b long")
+
+
 def _linked(n_a: int, t_a: np.ndarray, n_b: int, t_b: np.ndarray) -> bool:
-    if n_a > n_b:
-        n_a, t_a, n_b, t_b = n_b, t_b, n_a, t_a
-    if n_a < need(n_b):
+    if min(n_a, n_b) < need(max(n_a, n_b)):
         return False
-    for seed in SEEDS:  # further orders: shared tokens by a seeded hash
-        pre = []
-        for n, t in ((n_a, t_a), (n_b, t_b)):
-            p = n - need(n) + 1 - (n - len(t))
-            if p <= 0:
-                return False
-            pre.append(t if p >= len(t) else t[np.argpartition(mix(t ^ seed), p - 1)[:p]])
-        if not len(np.intersect1d(*pre, assume_unique=True)):
-            return False
     both = len(np.intersect1d(t_a, t_b, assume_unique=True))
     return 100 * both >= PERCENT * (n_a + n_b - both)
 
@@ -287,23 +308,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verify, "a long, b long"))
 
 
+def spread(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows left joined with names (one row a key, few keys): a key that holds many rows goes to `SALTS` tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")
+
+
 def united(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (cid, comp) after uniting the components that links (a, b) join: smallest labels spread along component links, halving paths."""
     of = lambda x: comp.select(F.col("cid").alias(x), F.col("comp").alias(f"c{x}"))
-    edges = links.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb").select("ca", "cb").distinct()
+    ends = lambda x: of(x).join(links.select(x).distinct(), x, "left_semi")  # noqa: E731  one row an end, however many links it has
+    edges = spread(spread(links, ends("a"), "a"), ends("b"), "b").filter("ca <> cb").select("ca", "cb").distinct()
     edges = written(edges.union(edges.select("cb", "ca")).distinct().toDF("u", "v"))
     label = written(edges.select("u").distinct().select("u", F.col("u").alias("to")))
     if label.isEmpty():
         return comp
     while True:
         near = edges.join(label.withColumnsRenamed({"u": "v", "to": "vt"}), "v").groupBy("u").agg(F.min("vt").alias("m"))
-        step = label.join(near, "u", "left").select("u", F.least("to", F.coalesce("m", "to")).alias("to"), F.col("to").alias("was"))
-        jump = step.select(F.col("u").alias("to"), F.col("to").alias("up"))
-        new = written(step.join(jump, "to", "left").select("u", F.least("to", F.coalesce("up", "to")).alias("to"), "was"))
+        step = written(label.join(near, "u", "left").select("u", F.least("to", F.coalesce("m", "to")).alias("to"), F.col("to").alias("was")))
+        goals = step.select("to").distinct().join(step.select(F.col("u").alias("to"), F.col("to").alias("up")), "to")
+        new = written(spread(step, goals, "to").select("u", F.least("to", F.coalesce("up", "to")).alias("to"), "was"))
         done = new.filter("to <> was").isEmpty()
         label = new.select("u", "to")
         if done:
-            return written(comp.join(label.withColumnsRenamed({"u": "comp"}), "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")))
+            return written(spread(comp, label.withColumnsRenamed({"u": "comp"}), "comp").select("cid", F.coalesce("to", "comp").alias("comp")))
 
 
 def components(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
@@ -323,6 +351,7 @@ def classes(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
     alive = every.filter("alive").groupBy("sig").agg(F.min("doc_id").alias("low"), F.max_by(F.struct("n", "toks", "dfs"), F.col("toks").isNotNull()).alias("s"))
     sets = written(alive.select(F.monotonically_increasing_id().alias("cid"), "low", "sig", "s.n", "s.toks", "s.dfs"))
     posts = written(sets.select("cid", "n", "toks", "dfs").mapInArrow(_prefixes, "cid long, n int, tok long, score double, pos int"))
+    orders = written(sets.select("cid", "n", "toks").mapInArrow(_orders, ORDERS))
     comp = sets.select("cid", F.col("cid").alias("comp"))
     for turn in range(rounds + 1):
         p = written(posts.join(comp, "cid"))
@@ -341,12 +370,12 @@ def classes(docs: DataFrame, k: int = K, rounds: int = 3) -> DataFrame:
             on = (apart <= total - 2 * least) & (F.least(rest("x"), rest("y")) >= least) & (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT)
             pairs = q.alias("x").join(q.alias("y"), on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("nb"))
         pairs = pairs.filter(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT).select("a", "b").distinct()
-        links = _verified(pairs, sets)
+        links = _verified(ordered(pairs, orders), sets)
         comp = united(comp, links)
     # a class's component: the smallest id of its documents; classes that are not alive stand alone
     by_sig = written(sets.join(comp, "cid").select("sig", "comp", "low"))
     named = by_sig.groupBy("comp").agg(F.min("low").alias("component_id"), F.min("sig").alias("label"))
-    by_sig = by_sig.join(named, "comp").select("sig", "component_id", "label")
+    by_sig = spread(by_sig, named, "comp").select("sig", "component_id", "label")
     dead = every.filter("n > 0 and not alive").groupBy("sig").agg(F.min("doc_id").alias("component_id")).withColumn("label", F.col("sig"))
     found = every.select("doc_id", "mark", "n", "sig").join(by_sig.union(dead), "sig", "left")
     return found.select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label")
