@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import kept
+
 BLOCK, CACHE_PARTS = 64, 400_000  # leaves a block; bound of memory alone
 OUT = "doc_id long, tokens_before long, tokens_after long, chars_after long, reencoded long"
 
@@ -130,15 +132,9 @@ class Tree:
             self._build()
 
 
-_counters: dict[tuple[str, str], Counter] = {}
-
-
 def counter_of(ranks_path: str, pattern: str) -> Counter:
     """One counter a Python worker: its cache serves all tasks that the worker runs."""
-    key = (ranks_path, pattern)
-    if key not in _counters:
-        _counters[key] = Counter(ranks_path, pattern)
-    return _counters[key]
+    return kept(("counts", ranks_path, pattern), lambda: Counter(ranks_path, pattern))
 
 
 def counted(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A text is cut before each space run, around line breaks and characters that no piece holds, and between a letter and a
 mark where no piece has the two side by side; no merge crosses such a cut (checked when the model is loaded). Each part is encoded left to right: take the
-longest piece that a walk down the vocabulary's trie finds at the position, accept it if re-merging it with its left neighbour
+longest piece that the vocabulary's Aho-Corasick automaton matches at the position, accept it if re-merging it with its left neighbour
 gives the same two pieces, else try the next shorter one; when none is left, drop the last piece and mark its end in a
 bitfield so that no other path tries that position again. A sequence whose pieces all agree with their neighbours is
 the merge order's own result. Characters outside the vocabulary become UTF-8 byte pieces.
 
 Null and empty texts give no ids and an empty text. Rows are independent, so order, ties, repeated rows and empty tables
-need no rule; texts of any length are processed whole (memory: one text and its ids).
+need no rule; texts of any length are processed whole (memory: one text and its ids). Parts that were encoded before are kept
+in two generations of at most `CACHE_BYTES` each, whatever their number.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import kept
+
 SPACE = "▁"
 LAST = float("inf")
-CACHE_PARTS = 500_000  # a bound on memory alone: parts beyond it are encoded anew
+CACHE_BYTES, AGREE, ENTRY = 40_000_000, 120_000, 240  # bounds on memory alone: parts beyond them are encoded anew
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -49,8 +52,9 @@ class Codec:
         self.trie = ahocorasick.Automaton()
         for p in self.rank:
             self.trie.add_word(p, p)
+        self.trie.make_automaton()
         self.shown = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
-        self.widest, self.shorter = max(map(len, self.rank)), {}
+        self.shorter: dict = {}
         # marks that no piece holds right after a letter: no merge joins a word to them. The expression's class also takes
         # numeric characters such as superscripts; no cut is made after those that a piece joins to a mark
         letter = re.compile(r"[^\W\d_]")
@@ -64,6 +68,7 @@ class Codec:
         self.agree: dict = {}
         self.cache: dict = {}
         self.older: dict = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """text by its merge rules alone: the lowest rank first, of equal ranks the leftmost."""
@@ -110,17 +115,14 @@ class Codec:
         key = (a, b)
         if (known := self.agree.get(key)) is None:
             known = self.merged(b if a is None else a + b) == ([b] if a is None else [a, b])
-            if len(self.agree) >= CACHE_PARTS:
+            if len(self.agree) >= AGREE:
                 self.agree.clear()
             self.agree[key] = known
         return known
 
     def _longest(self, text: str, at: int) -> str:
-        """The longest piece at a place: the trie's longest path, cut back to a piece."""
-        end = at + self.trie.longest_prefix(text[at : at + self.widest])
-        while text[at:end] not in self.rank:
-            end -= 1
-        return text[at:end]
+        """The longest piece that starts at a place; each character of text is a piece, so one does."""
+        return next(self.trie.iter_long(text, at))[1]
 
     def _shorter(self, piece: str) -> str:
         """The next shorter piece that a piece starts with; empty if none."""
@@ -189,15 +191,18 @@ class Codec:
             out.append(x)
         return "".join(out) + raw.decode(errors="replace")
 
-    def known(self, part: str) -> tuple[str, int, str]:
-        """(ids joined by commas, their number, their text) of a part; parts that come up again outlive others."""
+    def known(self, part: str) -> str | tuple[str, str]:
+        """A part's ids joined by commas, and their text where it isn't the part's own; parts that come up again outlive others."""
         if (value := self.older.get(part)) is None:
             ids = self.encode_part(part)
-            value = (",".join(map(str, ids)), len(ids), self._joined(ids))
+            value, text = ",".join(map(str, ids)), self._joined(ids)
+            if text != part.replace(SPACE, " "):
+                value = (value, text)
         if len(part) <= 64:
-            if len(self.cache) >= CACHE_PARTS:
-                self.older, self.cache = self.cache, {}
+            if self.held >= CACHE_BYTES:
+                self.older, self.cache, self.held = self.cache, {}, 0
             self.cache[part] = value
+            self.held += ENTRY + 2 * len(part) + 6 * len(part)  # the ids' text: up to six places a character
         return value
 
     def both(self, text: str | None) -> tuple[str, int, str]:
@@ -205,23 +210,24 @@ class Codec:
         if not text:
             return "", 0, ""
         get, known = self.cache.get, self.known
-        got = [get(p) or known(p) for p in self.part.findall(SPACE + text.replace(" ", SPACE))]
-        decoded = "".join([g[2] for g in got])
-        return ",".join([g[0] for g in got]), sum([g[1] for g in got]), decoded[1:] if decoded.startswith(" ") else decoded
+        parts = self.part.findall(SPACE + text.replace(" ", SPACE))
+        got = [get(p) or known(p) for p in parts]
+        if tuple in set(map(type, got)):
+            decoded = "".join([p.replace(SPACE, " ") if type(g) is str else g[1] for p, g in zip(parts, got)])
+            got = [g if type(g) is str else g[0] for g in got]
+        else:
+            decoded = "".join(parts).replace(SPACE, " ")
+        ids = ",".join(got)
+        return ids, ids.count(",") + 1, decoded[1:] if decoded.startswith(" ") else decoded
 
     def encode(self, text: str | None) -> list[int]:
         joined = self.both(text)[0]
         return [int(x) for x in joined.split(",")] if joined else []
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(model_path: str) -> Codec:
     """One codec a Python worker: its caches serve all tasks that the worker runs."""
-    if model_path not in _codecs:
-        _codecs[model_path] = Codec(model_path)
-    return _codecs[model_path]
+    return kept(("sentencepiece", model_path), lambda: Codec(model_path))
 
 
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:

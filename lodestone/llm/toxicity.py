@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join
+from lodestone.llm.common import kept
 
 SAMPLE = 2500  # rows a class that are fitted on, with their whole texts
 DICT_BYTES, CUT, CACHE_WORDS = 16_384, 0.7, 400_000
@@ -159,17 +160,6 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
-_models: dict[str, Model] = {}
-
-
-def _kept(key: str, model: Model) -> Model:
-    """One model a Python worker: the windows that it knows serve all tasks that the worker runs."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = model
-    return _models[key]
-
-
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     key = model and hashlib.sha256(b"".join(model.parts) + repr((model.gain, model.cost, model.curve.tolist(), model.carrier)).encode()).hexdigest()
 
@@ -177,7 +167,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def score(text: pd.Series) -> pd.Series:
         if not model:
             return pd.Series(0.0, index=text.index)
-        own = _kept(key, model)
+        own = kept(("toxicity", key), lambda: model)
         return pd.Series([own.score(t) for t in text], dtype=float)
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
