@@ -300,7 +300,7 @@ def test_fingerprints_in_noise(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, print array<long>")
     found = audio_fingerprint.aligned(frame(prints), frame(queries), spark.createDataFrame(keys, "query_id long, key long, qs array<int>")).collect()
     got = {(x.query_id, x.vec_id) for x in found if x.offset == 0}
-    assert len(want) > 450 and len(want & got) >= 0.97 * len(want)
+    assert len(want) > 600 and len(want & got) >= 0.9 * len(want)
 
 
 def test_pipeline(spark):
