@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def freed() -> None:
+    """Gives memory that a Python worker no longer needs back to the machine; workers outlive their tasks and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 _kept: dict = {}
 
 
@@ -50,5 +62,6 @@ def kept(key, make):
     the stages of a pipeline don't add up in the workers that they share."""
     if key not in _kept:
         _kept.clear()
+        freed()
         _kept[key] = make()
     return _kept[key]

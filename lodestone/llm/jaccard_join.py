@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import freed, kept, written
 
 K, PERCENT, BATCH_TOKENS, BUCKET_CHARS = 5, 75, 500_000, 12_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -84,7 +84,7 @@ def _batches(n_buckets: int, k: int):
     """Rows (to, batch, kind, a, b, c): kind 0 the batch's documents for the way back, kind 1 tokens of a bucket."""
 
     def run(arrow):
-        shingle = Shingler(k)
+        shingle = kept(("shingles", k), lambda: Shingler(k))
         task, number = TaskContext.get().partitionId(), 0
         ids, marks, sizes, rep, sets, by_sig, tokens = [], [], [], [], [], {}, 0
 
@@ -115,7 +115,7 @@ def _batches(n_buckets: int, k: int):
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], ["to", "batch", "kind", "a", "b", "c"])
 
         for b in arrow:
-            for i, m, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
+            for i, m, t in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), map(pa.Scalar.as_py, b.column("text"))):
                 s = shingle(t)
                 ids.append(i)
                 marks.append(m)
@@ -172,6 +172,8 @@ def _count(arrow):
             if hit.any():
                 full = mix(t[hit] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bucket))
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]]), pa.array([1], pa.int32()), pa.array([_blob(full)], pa.binary()), pa.array([_blob(n[at[hit]].astype(np.uint32))], pa.binary()), pa.array([_blob(doc[hit])], pa.binary())], ["batch", "kind", "a", "b", "c"])
+        toks = mine = r = t = doc = None
+    freed()
 
 
 SKETCH = 8  # 64-bit words
@@ -235,6 +237,8 @@ def _gather(arrow):
                 out = []
         if out:
             yield _sets(out)
+    head = rows = tok = df = doc = order = out = r = None
+    freed()
 
 
 def _sets(rows):

@@ -26,6 +26,7 @@ from lodestone.llm.common import kept
 SPACE = "▁"
 LAST = float("inf")
 CACHE_BYTES, AGREE, ENTRY = 40_000_000, 120_000, 240  # bounds on memory alone: parts beyond them are encoded anew
+ROWS = 500  # texts that are Python strings at once
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -235,16 +236,18 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         codec, sha = codec_of(model_path), hashlib.sha256
+
+        def digests(text):
+            ids, n, decoded = codec.both(text)
+            return n, sha(ids.encode()).hexdigest(), sha(decoded.encode()).hexdigest()
+
         for b in batches:
-            rows = [codec.both(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id").cast(pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([sha(r[0].encode()).hexdigest() for r in rows], pa.string()),
-                    pa.array([sha(r[2].encode()).hexdigest() for r in rows], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for start in range(0, b.num_rows, ROWS):  # a few texts at a time are Python's
+                part = b.slice(start, ROWS)
+                n, ids, decoded = zip(*map(digests, part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
