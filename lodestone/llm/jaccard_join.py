@@ -115,7 +115,7 @@ def _batches(n_buckets: int, k: int):
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], ["to", "batch", "kind", "a", "b", "c"])
 
         for b in arrow:
-            for i, m, t in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), map(pa.Scalar.as_py, b.column("text"))):
+            for i, m, t in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), (x.as_py() for x in b.column("text"))):
                 s = shingle(t)
                 ids.append(i)
                 marks.append(m)
