@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 ANSWER = "status string, answer string, confidence string, cited_chunk_ids array<string>"
 REQUEST = "message string, session_id string, retrieval_query string, cited_chunk_ids array<string>"
-TRAILING = r"([,;:\-–—…،؛]|\.\.\.)\s*$"
+# Marks that trail an answer without being part of it, and ends that leave it open.
+MARKS, TRAILING = r"[*_`#>]+\z", r"([,;:،؛…-]|\.\.\.)\z"
 
 
 def text_within(x: Column, most: int) -> Column:
@@ -31,9 +32,11 @@ def parse_answers(rows: DataFrame, column: str = "raw") -> DataFrame:
 
 
 def incomplete(answer: Column, stop: list[str]) -> Column:
-    """Ends in a comma, dash or ellipsis, or on a word that no sentence ends with."""
-    last = F.element_at(F.split(F.trim(answer), r"\s+"), -1)
-    return F.coalesce(answer.rlike(TRAILING) | last.isin(stop or [""]), F.lit(True))
+    """Blank once trailing marks are off, or ends in a comma, colon, hyphen or ellipsis, or its last word, whatever its case and
+    what follows it, is one that no sentence ends with. Null is incomplete."""
+    x = F.trim(F.regexp_replace(F.trim(F.regexp_replace(answer, r"(?U)\s+", " ")), MARKS, ""))
+    last = F.lower(F.try_element_at(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), F.lit(-1)))
+    return F.coalesce((x == "") | x.rlike(TRAILING) | F.coalesce(last.isin(list(stop) or [""]), F.lit(False)), F.lit(True))
 
 
 def validate(answers: DataFrame, retrieved: str = "retrieved", aliases: str | None = None, stop: list[str] = ()) -> DataFrame:

@@ -99,15 +99,7 @@ def followup_query(spark, d):
 
 
 def retrieval_eval(spark, d):
-    """For each passage the documents that hold it whole; candidates meet on the passage's first five words."""
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), words("text").alias("w")).select("item_id", "passage", key(F.col("w"), 2).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text", words("text").alias("w")).filter("size(w) >= 5")
-    post = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("key"))
-    near = post.join(b, "key").select("item_id", "doc_id", "passage").distinct()
-    hits = near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage"))
-    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    return evaluate.holders(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")), table(spark, d, "documents"))
 
 
 def quota_admission(spark, d):
@@ -139,26 +131,24 @@ def weighted_score(spark, d):
 
 
 def _scored_sql() -> str:
-    parts = []
-    for i, raw in SCORED:
-        q = scoring.Query.of(raw)
-        has = lambda x, t, w: f"CASE WHEN contains({x}, '{t}') THEN {float(w)}::DOUBLE ELSE 0 END"
-        terms = []
-        for field, w in (("t", 20), ("x", 12), ("g", 8)):
-            body = field == "x"
-            terms += [has(field, raw, w), *[has(field, t, max(0.25, w // 4)) for t in q.tokens]]
-            for p in q.phrases:
-                terms += [has(field, p, max(2, w // 2) if body else w), has(f"replace({field}, ' ', '')", p.replace(" ", ""), max(2, w // 3 if body else w // 2))]
-        n = "(" + " + ".join(f"CASE WHEN {' OR '.join(f'contains(a, {chr(39)}{t}{chr(39)})' for t in g)} THEN 1 ELSE 0 END" for g in q.groups) + ")"
-        cover = f"{n} * 12.0::DOUBLE + CASE WHEN {n} = {len(q.groups)} THEN 80 WHEN {n} >= {0.75 * len(q.groups)} THEN 28 ELSE 0 END"
-        share = f"(len(list_intersect(w, {list(q.tokens)}))::DOUBLE / len(w))"
-        prior = f"CASE WHEN len(w) = 0 THEN 0 WHEN {share} >= 1 THEN 40 WHEN {share} >= 0.5 THEN 18 * {share} ELSE 0 END"
-        broad = f"CASE WHEN length(t) > 0 AND contains('{raw}', t) THEN 15.0 / (chunk_id + 1) ELSE 0 END"
-        named = " OR ".join(f"contains(t, '{t}')" for g in q.groups for t in g)
-        parts.append(f"SELECT {i}::BIGINT AS query_id, chunk_id, round({' + '.join(terms)} + {cover} + {prior} + {broad}, 6) AS score, ({named}) AS structured FROM n")
+    """Written from the rules, with words and phrases taken by SQL; the queries have no Arabic words, so no loose forms."""
+    asked = ", ".join(f"({i}::BIGINT, '{raw}')" for i, raw in SCORED)
     norm = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    base = f"WITH b AS (SELECT doc_id AS chunk_id, {norm('split_part(text, chr(10), 1)')} AS t, {norm('text')} AS x, coalesce(lang, '') AS g FROM documents), n AS (SELECT *, t || chr(10) || x || chr(10) || g AS a, list_filter(list_distinct(string_split(t, ' ')), lambda v: length(v) >= 2) AS w FROM b)"
-    return base + f", s AS ({' UNION ALL '.join(parts)}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM s WHERE score > 0) WHERE rank <= 10"
+    return f"""WITH q AS (SELECT *, string_split(q, ' ') AS w FROM (VALUES {asked}) v(query_id, q)),
+p AS (SELECT query_id, list(DISTINCT array_to_string(w[i:i + n - 1], ' ')) AS p FROM q, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest([2, 3, 4]) AS n) WHERE i + n - 1 <= len(w) GROUP BY 1),
+c AS (SELECT doc_id AS chunk_id, {norm("coalesce(split_part(text, chr(10), 1), '')")} AS t, {norm("coalesce(text, '')")} AS x, {norm("coalesce(lang, '')")} AS g FROM documents),
+f AS (SELECT chunk_id, t AS v, 20 AS weight FROM c UNION ALL SELECT chunk_id, x, 12 FROM c UNION ALL SELECT chunk_id, g, 8 FROM c),
+a AS (SELECT query_id, chunk_id, sum(CASE WHEN contains(v, q) THEN weight ELSE 0 END
+    + len(list_filter(w, lambda y: contains(v, y))) * greatest(0.25, floor(weight / 4))
+    + len(list_filter(p, lambda y: contains(v, y))) * greatest(2, floor(weight / 2))
+    + len(list_filter(p, lambda y: contains(replace(v, ' ', ''), replace(y, ' ', '')))) * greatest(2, floor(weight / 3))) AS points
+  FROM f, q JOIN p USING (query_id) GROUP BY ALL),
+b AS (SELECT query_id, chunk_id, q, t, w, list_filter(list_distinct(string_split(t, ' ')), lambda y: length(y) > 1) AS words, len(list_filter(w, lambda y: contains(t, y) OR contains(x, y) OR contains(g, y))) AS met FROM c, q),
+m AS (SELECT *, len(list_filter(words, lambda y: list_contains(w, y))) AS mine FROM b),
+s AS (SELECT query_id, chunk_id, round(points + met * 12 + CASE WHEN met = len(w) THEN 80 WHEN met >= 0.75 * len(w) THEN 28 ELSE 0 END
+    + CASE WHEN len(words) = 0 THEN 0 WHEN mine = len(words) THEN 40 WHEN 2 * mine >= len(words) THEN 18 * mine::DOUBLE / len(words) ELSE 0 END
+    + CASE WHEN len(words) > 0 AND (contains(q, t) OR mine = len(words)) THEN 15.0::DOUBLE / (chunk_id + 1) ELSE 0 END, 6) AS score, false AS structured FROM a JOIN m USING (query_id, chunk_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 
 
 ROUTES = [("help", "license"), ("help", "email"), ("prose", "the"), ("prose", "and"), ("french", " les "), ("german", " und "), ("german", "nicht"), ("spanish", " que ")]
@@ -237,20 +227,20 @@ QUERIES = {
 }
 
 _CLEAN = "html"
-for _p, _r, _o in [(r"<br\s*/?>", "chr(10)", "gi"), (r"</(p|div|li|h[1-6]|tr|section|article|blockquote)>", "chr(10)", "gi"), (r"<[^>]+>", "''", "g")]:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {_r}, '{_o}')"
-for _a, _b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
-    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b}')"
-_CLEAN = f"replace({_CLEAN}, chr(13) || chr(10), chr(10))"
-for _p, _r in [(r"[ \t]+", "' '"), (r" *\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^[ \n]+|[ \n]+$", "''")]:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', {_r}, 'g')"
+for _p, _r, _o in [(T.BREAK, "\n", "gi"), (f"</({T.BLOCK_TAGS})>", "\n", "gi"), ("<[^>]+>", "", "g")]:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_r}', '{_o}')"
+for _a, _b in T.ENTITIES:
+    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+for _p, _r in T.TIDY:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_r}', 'g')"
 
 ORACLE_SQL = {
     "weighted_score": _scored_sql(),
     "routed_turns": _routed_sql(),
-    "answer_validation": f"""WITH a AS (SELECT conv_id, turn, nullif(trim(text), '') AS answer FROM conversations WHERE role = 'assistant')
+    "answer_validation": f"""WITH a AS (SELECT conv_id, turn, nullif(trim(text), '') AS answer FROM conversations WHERE role = 'assistant'),
+t AS (SELECT *, trim(regexp_replace(trim(regexp_replace(answer, '\\s+', ' ', 'g')), '[*_`#>]+$', '')) AS x FROM a), w AS (SELECT *, lower(regexp_extract_all(x, '[\\p{{L}}\\p{{M}}]+')[-1]) AS last FROM t)
 SELECT conv_id, turn, 'medium' AS confidence, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) ELSE '' END AS citations,
-  answer IS NOT NULL AND turn > 0 AND NOT regexp_matches(answer, '([,;:\\-–—…،؛]|\\.\\.\\.)\\s*$') AND regexp_split_to_array(answer, '\\s+')[-1] NOT IN ({", ".join(f"'{w}'" for w in STOP)}) AS valid FROM a""",
+  answer IS NOT NULL AND turn > 0 AND x <> '' AND right(x, 1) NOT IN (',', ';', ':', '،', '؛', '…', '-') AND right(x, 3) <> '...' AND coalesce(last NOT IN ({", ".join(f"'{w}'" for w in STOP)}), true) AS valid FROM w""",
     "passage_report": r"""WITH w AS (SELECT 1 AS k, item_id AS id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark UNION ALL SELECT 2, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') FROM documents),
 g AS (SELECT DISTINCT k, id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 s AS (SELECT b.id AS item_id, d.id AS doc_id, count(*) AS n FROM g b JOIN g d ON b.k = 1 AND d.k = 2 AND b.g = d.g GROUP BY ALL),
@@ -269,7 +259,11 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
     "hydrate": _LEX + """, h AS (SELECT query_id, chunk_id, score FROM l WHERE rank <= 30 AND chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND chunk_id IN (SELECT doc_id FROM documents WHERE length(split_part(text, chr(10), 1)) > 0))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS rank FROM h) WHERE rank <= 5""",
     "html_to_text": f"SELECT page_id, {_CLEAN} AS text FROM pages",
-    "url_slug": r"""SELECT page_id, regexp_replace(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1], '\.php$', '') AS slug, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS file_name FROM pages""",
+    "url_slug": r"""WITH u AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*|/+$', '', 'g'), '/')[-1] AS last, '&' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS asked FROM pages),
+i AS (SELECT *, regexp_extract(asked, '&id=([^&]*)', 1) AS id, regexp_extract(asked, '&q=([^&]*)', 1) AS q FROM u)
+SELECT page_id, CASE WHEN last = 'generateVerse.php' AND regexp_full_match(id, '[0-9]+') THEN 'verse-' || id WHEN lower(last) = 'seneksar.php' AND regexp_full_match(q, '[0-9]+') THEN 'day-' || q
+  WHEN last = '.php' THEN last ELSE regexp_replace(last, '\.php$', '') END AS slug,
+  regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS file_name FROM i""",
     "ngram_phrases": r"""WITH w AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 2) AS w FROM benchmark),
 g AS (SELECT item_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([2, 3, 4]) AS n)))
 SELECT DISTINCT item_id, phrase FROM g""",
