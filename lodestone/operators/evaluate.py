@@ -48,13 +48,13 @@ def holders(passages: DataFrame, docs: DataFrame, size: int = 5) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     p = passages.filter("passage is not null").select("item_id", "passage", words("passage").alias("w")).withColumn("n", F.least(F.lit(size), F.size("w") - 2))
     rows = docs.filter("text is not null").select("doc_id", "text")
-    keys = p.filter("n > 0").select("item_id", "passage", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("key"))
+    keys = p.filter("n > 0").select("item_id", "passage", "n", F.xxhash64("n", F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("key"))
     sizes = [r.n for r in keys.select("n").distinct().collect()]  # at most `size` numbers
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("key")))
-    none = F.array().cast("array<struct<n:int,key:bigint>>")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " ")))
+    none = F.array().cast("array<bigint>")
     every = F.concat(none, *[F.when(F.size("w") >= n, grams(n)).otherwise(none) for n in sizes])
-    post = rows.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(every)).alias("g")).select("doc_id", "g.n", "g.key")
-    near = post.join(keys, ["n", "key"]).select("item_id", "doc_id", "passage").distinct()
+    post = rows.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(every)).alias("key"))
+    near = post.join(keys, "key").select("item_id", "doc_id", "passage").distinct()
     hits = near.join(rows, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
     short = p.filter("n <= 0").select("item_id", "passage").join(rows, F.contains("text", "passage")).select("item_id", "doc_id")
     return hits.union(short).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))

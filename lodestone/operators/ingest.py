@@ -49,9 +49,10 @@ def chunks(docs: DataFrame, most: int = 7000, least: int = 60) -> DataFrame:
     return rows.select("doc_id", F.concat_ws(":", F.lit("doc"), "doc_id", "chunk_no").alias("chunk_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "text")
 
 
-def shard_rows(chunks: DataFrame) -> DataFrame:
-    """One row for each shard that a chunk belongs to: its own library's alone, else its domain's, and always the metadata shard."""
-    own = F.when(F.col("library").isin("src0", "src1", "src2"), F.array(F.concat(F.lit("lexical:facet:"), "library")))
+def shard_rows(chunks: DataFrame, own_shards: list[str]) -> DataFrame:
+    """One row for each shard that a chunk belongs to: its library's alone if that is one of `own_shards`, else its domain's, and
+    always the metadata shard."""
+    own = F.when(F.col("library").isin(own_shards), F.array(F.concat(F.lit("lexical:facet:"), "library")))
     keys = F.concat(F.coalesce(own, F.array(F.concat(F.lit("lexical:domain:"), F.coalesce("domain", F.lit("default"))))), F.array(F.lit("lexical:metadata")))
     return chunks.select("chunk_id", "library", "domain", F.explode(keys).alias("shard_key"))
 

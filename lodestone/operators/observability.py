@@ -28,13 +28,13 @@ def lower_percentile(values: DataFrame, key: str, value: str, p: float) -> DataF
 def usage_counters(events: DataFrame) -> DataFrame:
     """Sums by day, by month and by day and user, in one pass of grouping sets."""
     e = events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM").alias("month"), "user_id", "cost")
-    e.createOrReplaceTempView("_usage_events")
-    return e.sparkSession.sql("""
-        SELECT CASE WHEN grouping(month) = 0 THEN 'month' ELSE 'day' END AS period_type, coalesce(day, month) AS period_key,
-               CASE WHEN grouping(user_id) = 0 THEN 'device' ELSE 'global' END AS scope,
-               CASE WHEN grouping(user_id) = 0 THEN cast(user_id AS string) ELSE 'all' END AS usage_key,
-               count(*) AS queries, round(sum(cost), 2) AS cost
-        FROM _usage_events GROUP BY GROUPING SETS ((day), (month), (day, user_id))""")
+    sets = e.groupingSets([["day"], ["month"], ["day", "user_id"]], "day", "month", "user_id")
+    each = sets.agg(F.grouping("month").alias("_m"), F.grouping("user_id").alias("_u"), F.count("*").alias("queries"), F.round(F.sum("cost"), 2).alias("cost"))
+    by_user = F.col("_u") == 0
+    return each.select(
+        F.when(F.col("_m") == 0, "month").otherwise("day").alias("period_type"), F.coalesce("day", "month").alias("period_key"),
+        F.when(by_user, "device").otherwise("global").alias("scope"), F.when(by_user, F.col("user_id").cast("string")).otherwise("all").alias("usage_key"), "queries", "cost",
+    )
 
 
 def guarded(events: DataFrame, key: list[str], limit: int, order: list[str]) -> DataFrame:

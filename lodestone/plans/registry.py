@@ -65,7 +65,7 @@ def chunk_split(spark, d):
 
 
 def shard_fanout(spark, d):
-    return ingest.shard_rows(corpus(spark, d)).groupBy("shard_key").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+    return ingest.shard_rows(corpus(spark, d), ["src0", "src1", "src2"]).groupBy("shard_key").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
 def manifest_delta(spark, d):
