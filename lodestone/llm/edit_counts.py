@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept
 
-BLOCK, CACHE_PARTS = 64, 400_000  # leaves a block; bound of memory alone
+BLOCK, MOST, CONTEXT, CACHE_PARTS = 64, 256, 3, 400_000  # leaves a block at first and at most, leaves before an edit; bound of memory alone
 OUT = "doc_id long, tokens_before long, tokens_after long, chars_after long, reencoded long"
 
 
@@ -45,10 +45,11 @@ class Counter:
 
 
 class Tree:
-    """Leaves in blocks; `sums` holds (characters, tokens) of every node of a binary tree over the blocks."""
+    """Leaves in blocks; `sums` holds (characters, tokens) of every node of a binary tree over the blocks. Blocks have room for
+    leaves that edits add, spread evenly over those that an edit touches; only when they are full is the tree built anew."""
 
     def __init__(self, text: str, counter: Counter):
-        self.counter, self.text, self.reencoded = counter, text, 0
+        self.counter, self.text, self.reencoded, self.built = counter, text, 0, 0
         parts = counter.pattern.findall(text)
         get, new = counter.cache.get, counter.tokens
         leaves = [(len(p), get(p) or new(p)) for p in parts]
@@ -56,6 +57,7 @@ class Tree:
         self._build()
 
     def _build(self) -> None:
+        self.built += 1
         self.size = 1 << max(0, (len(self.blocks) - 1).bit_length())
         self.sums = np.zeros((2 * self.size, 2), np.int64)
         self.sums[self.size : self.size + len(self.blocks)] = [(sum(c for c, _ in b), sum(t for _, t in b)) for b in self.blocks]
@@ -83,18 +85,21 @@ class Tree:
         start = max(0, min(start, len(self.text)))
         stop = min(len(self.text), start + max(0, length))
         text = self.text[:start] + put + self.text[stop:]
-        first, at = self._find(max(0, start - 1))
-        if first:
+        hit, at = self._find(max(0, start - 1))
+        first, before = hit, 0
+        while first and before < CONTEXT:  # blocks before give the context that the edit's own block may lack
             first -= 1
             at -= int(self.sums[self.size + first, 0])
-        cuts, n = [], at  # the block before gives at least two pre-tokens of context
-        for k, (c, _) in enumerate(self.blocks[first] + (self.blocks[first + 1] if first + 1 < len(self.blocks) else [])):
+            before += len(self.blocks[first])
+        span = [leaf for block in self.blocks[first : hit + 1] for leaf in block]
+        cuts, n = [], at
+        for k, (c, _) in enumerate(span):
             if n >= start:
                 break
             cuts.append((n, k))
             n += c
-        n, k = cuts[max(0, len(cuts) - 3)] if cuts else (at, 0)
-        head = (self.blocks[first] + (self.blocks[first + 1] if first + 1 < len(self.blocks) else []))[:k]
+        n, k = cuts[max(0, len(cuts) - CONTEXT)] if cuts else (at, 0)
+        head = span[:k]
         shift = len(text) - len(self.text)
         old_block, old_leaf, old_at = first, 0, at
         new, pos, met = [], n, False
@@ -116,19 +121,19 @@ class Tree:
         tail = self.blocks[old_block][old_leaf:] if met and old_block < len(self.blocks) else []
         last = old_block if met else len(self.blocks) - 1
         leaves = head + new + tail
-        fresh = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)]
         self.text = text
-        if len(fresh) <= last - first + 1:  # the same number of blocks: only their paths change
-            fresh += [[] for _ in range(last - first + 1 - len(fresh))]
-            for b, leaves in enumerate(fresh, first):
-                self.blocks[b] = leaves
-                node = self.size + b
-                self.sums[node] = (sum(c for c, _ in leaves), sum(t for _, t in leaves))
+        held = last - first + 1
+        if len(leaves) <= held * MOST:  # only these blocks' paths change
+            each = max(1, -(-len(leaves) // held))
+            for b in range(held):
+                self.blocks[first + b] = own = leaves[b * each : (b + 1) * each]
+                node = self.size + first + b
+                self.sums[node] = (sum(c for c, _ in own), sum(t for _, t in own))
                 while node > 1:
                     node >>= 1
                     self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-        elif last > first or len(fresh) > 1:
-            self.blocks[first : last + 1] = fresh
+        else:
+            self.blocks[first : last + 1] = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)]
             self._build()
 
 

@@ -234,6 +234,22 @@ def test_edit_counts(spark):
         for _ in range(30):
             tree.edit(r.randrange(len(tree.text) + 1), r.choice([0, 1, 5, 900]), r.choice(["", " ", "\n", "don't", "  x ", prose(9, 90)]))
             assert tree.total == len(c.encoding.encode_ordinary(tree.text)) and tree.sums[1, 0] == len(tree.text)
+    tree = edit_counts.Tree(" ".join(prose(k, 800) for k in range(16)), c)
+    for k in range(20):
+        tree.edit(r.randrange(len(tree.text)), 0, " some more words")
+    assert tree.built == 1 and tree.total == len(c.encoding.encode_ordinary(tree.text))
+    tree.edit(100, 0, prose(3, 9000))
+    assert tree.built == 2 and tree.total == len(c.encoding.encode_ordinary(tree.text))
+    d = docs(spark, [None, "", " ", "Hi", "a\n\n b  c 12.5 don't", *[prose(k, 30 * k) for k in range(1, 12)], prose(5, 6000)])
+    counted = {x.doc_id: x for x in edit_counts.query(d, P.path("byte_bpe_50k.tiktoken")).collect()}
+    for row in edit_counts.own_edits(d).collect():
+        text = row.text or ""
+        for e in row.edits:
+            at = min(e.start, len(text))
+            text = text[:at] + (e.put or "") + text[at + e.length :]
+        got = counted[row.doc_id]
+        assert (got.tokens_after, got.chars_after) == (len(c.encoding.encode_ordinary(text)), len(text))
+        assert got.tokens_before == len(c.encoding.encode_ordinary(row.text or ""))
     got = edit_counts.query(docs(spark, [None, "", "one two three four five"]), P.path("byte_bpe_50k.tiktoken")).collect()
     assert got[0].tokens_before == 0 == got[1].tokens_after
     assert edit_counts.query(docs(spark, ["a"]).limit(0), P.path("byte_bpe_50k.tiktoken")).count() == 0
