@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import arc_convert, chat_format, edit_counts, audio_fingerprint, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, toxicity
+from lodestone.llm import arc_convert, chat_format, edit_counts, audio_fingerprint, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, token_alignment, toxicity
 from lodestone.llm.common import table
 
 
@@ -23,5 +23,6 @@ QUERIES = {
     "op8_quality_rules": lambda spark, d: quality_rules.query(table(spark, d, "documents")),
     "op9_arc_to_warc": lambda spark, d: arc_convert.query(table(spark, d, "pages")),
     "op10_ngram_jaccard_join": lambda spark, d: jaccard_join.query(table(spark, d, "documents")),
+    "op11_token_alignment": lambda spark, d: token_alignment.query(table(spark, d, "documents"), _public),
 }
 ORACLE_SQL = {"op4_chat_format": chat_format.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql()}
