@@ -250,8 +250,8 @@ def mined(rows: DataFrame) -> DataFrame:
 #: For tables whose ids differ. The sum over the components stays far below what a double holds exactly.
 ORACLE_SQL = """
 WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.id AS aid, r.id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score FROM r AS a, r WHERE a.id % 100 = 0 AND a.id <> r.id),
 p AS (SELECT aid, id AS pid, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, id) <= 5)
 SELECT p.aid AS anchor_id, pid AS positive_id, row_number() OVER (PARTITION BY p.aid, pid ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, ps AS positive_score, score AS negative_score
