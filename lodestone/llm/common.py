@@ -7,7 +7,9 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,14 @@ def kept(key, make):
         freed()
         _kept[key] = make()
     return _kept[key]
+
+
+def sliced(batches, most: int, column: str = "text"):
+    """Parts of Arrow batches with about `most` bytes of text; a longer text is a part of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop

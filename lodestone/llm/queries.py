@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import arc_convert, chat_format, edit_counts, audio_fingerprint, hard_negatives, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, token_alignment, toxicity
+from lodestone.llm import arc_convert, chat_format, class_lm, edit_counts, audio_fingerprint, hard_negatives, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, token_alignment, toxicity
 from lodestone.llm.common import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_arc_to_warc": lambda spark, d: arc_convert.query(table(spark, d, "pages")),
     "op10_ngram_jaccard_join": lambda spark, d: jaccard_join.query(table(spark, d, "documents")),
     "op11_token_alignment": lambda spark, d: token_alignment.query(table(spark, d, "documents"), _public),
+    "op12_class_ngrams": lambda spark, d: class_lm.query(table(spark, d, "documents")),
     "op13_hard_negatives": lambda spark, d: hard_negatives.query(table(spark, d, "embeddings")),
 }
 ORACLE_SQL = {"op4_chat_format": chat_format.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op13_hard_negatives": hard_negatives.ORACLE_SQL}

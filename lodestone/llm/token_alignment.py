@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import freed, kept, written
+from lodestone.llm.common import freed, kept, sliced, written
 
 BLOCK = 3_000_000  # bytes of text
 CACHE = 5_000_000  # characters of encoded parts that a worker keeps; a bound on memory alone
@@ -186,7 +186,7 @@ def blocks(docs: DataFrame, *args) -> DataFrame:
         def filled(n: int, **have):
             return pa.RecordBatch.from_arrays([have[k].cast(kinds.field(k).type) if k in have else pa.nulls(n, kinds.field(k).type) for k in names], schema=kinds)
 
-        for part in _sliced(batches):
+        for part in sliced(batches, BLOCK):
             block += 1
             rows, pairs = aligned(pair, part.column("text").to_pylist())
             n, m = rows.num_rows, pairs.num_rows
@@ -198,17 +198,6 @@ def blocks(docs: DataFrame, *args) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def _sliced(batches):
-    """Parts of batches of about `BLOCK` bytes of text; a longer document is a part of its own."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < b.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, side="right")))
-            yield b.slice(start, stop - start)
-            start = stop
-
-
 def alignment(docs: DataFrame, *args) -> DataFrame:
     """A row a document with the numbers of tokens, groups, links, of links that are their A id's most frequent ones, and the
     sum of the links' document counts. args: as of `Pair`."""
