@@ -110,7 +110,7 @@ def exchange(words: list[tuple], of: np.ndarray, pairs: np.ndarray, classes: int
         firsts, seconds = pairs.sum(1)[:classes], pairs.sum(0)[:classes]
         gain -= _xlogx(firsts + r.sum() + both) - _xlogx(firsts) + _xlogx(seconds + le.sum() + both) - _xlogx(seconds)
         new = int(gain.argmax())
-        new = int(own) if gain[own] >= gain[new] - 1e-9 * abs(gain[new]) else new
+        new = int(own) if gain[own] >= gain[new] - 1e-12 * abs(gain[new]) else new
         pairs[new] += r
         pairs[:, new] += le
         pairs[new, new] += both
