@@ -107,7 +107,7 @@ def exchange(words: list[tuple], of: np.ndarray, pairs: np.ndarray, classes: int
         k = np.arange(classes)
         d, dr, dl = pairs[k, k], r[:classes], le[:classes]
         gain += _xlogx(d + dr + dl + both) - _xlogx(d) - (_xlogx(d + dr) - _xlogx(d)) - (_xlogx(d + dl) - _xlogx(d))
-        firsts, seconds = pairs.sum(1)[:classes], pairs.sum(0)[:classes]
+        firsts, seconds = (pairs.sum(1) + le)[:classes], (pairs.sum(0) + r)[:classes]  # the neighbours' own totals stay
         gain -= _xlogx(firsts + r.sum() + both) - _xlogx(firsts) + _xlogx(seconds + le.sum() + both) - _xlogx(seconds)
         new = int(gain.argmax())
         new = int(own) if gain[own] >= gain[new] - 1e-12 * abs(gain[new]) else new
@@ -179,10 +179,16 @@ def clustered(around: DataFrame, frequent: int, classes: int, sweeps: int) -> tu
             break
 
         def moved(batches, of=of, pairs=pairs):
-            of, pairs = of.copy(), pairs.copy()
+            task, own = None, ()
             for b in batches:
-                words = [x for x in _lists(b) if x[0] < frequent]
-                yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in words], pa.int32()), pa.array(exchange(words, of, pairs, classes), pa.int32())], ["w", "c"])
+                ids, new = [], []
+                for t, x in zip(b.column("task").to_pylist(), _lists(b)):
+                    if t != task:  # however tasks' rows are read together, each starts from the same state
+                        task, own = t, (of.copy(), pairs.copy())
+                    if x[0] < frequent:
+                        ids.append(x[0])
+                        new += exchange([x], *own, classes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(new, pa.int32())], ["w", "c"])
 
         of = of.copy()
         for r in around.mapInArrow(moved, "w int, c int").collect():  # at most `SHARE` + 1 rows
@@ -244,7 +250,7 @@ def vocabulary(docs: DataFrame, words: DataFrame, classes: int = CLASSES, sweeps
     top = counts.filter(often).orderBy(F.col("word") != END, F.desc("n"), "word").select("word").toArrow()["word"].to_pylist()  # at most SHARE + 1 words
     ids = {w.encode(): i for i, w in enumerate(top)}
     train = docs.filter(~F.coalesce("held_out", F.lit(False)))
-    around = written(_neighbours(train, ids, len(top)).repartition(TASKS, "w").sortWithinPartitions("w"))
+    around = written(_neighbours(train, ids, len(top)).repartition(TASKS, "w").sortWithinPartitions("w").withColumn("task", F.spark_partition_id()))
     of, facts["likelihood"] = clustered(around, len(top), classes, sweeps)
     pairs = np.zeros((classes + 1, classes + 1))
 
