@@ -54,6 +54,7 @@ class Codec:
         for p in self.rank:
             self.trie.add_word(p, p)
         self.trie.make_automaton()
+        self.longest = max(map(len, self.rank))
         self.shown = [None if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.shorter: dict = {}
         # marks that no piece holds right after a letter: no merge joins a word to them. The expression's class also takes
@@ -122,8 +123,9 @@ class Codec:
         return known
 
     def _longest(self, text: str, at: int) -> str:
-        """The longest piece that starts at a place; each character of text is a piece, so one does."""
-        return next(self.trie.iter_long(text, at))[1]
+        """The longest piece that starts at a place; each character of text is a piece, so one does. The automaton sees no more
+        of the text than the longest piece has characters, so a place costs the same in texts of any length."""
+        return next(self.trie.iter_long(text[at : at + self.longest]))[1]
 
     def _shorter(self, piece: str) -> str:
         """The next shorter piece that a piece starts with; empty if none."""

@@ -328,3 +328,25 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, SF).columns == d.columns, name
         stage(spark, d.limit(0), SF).count()
+
+
+def test_sentencepiece_of_a_long_part_without_spaces():
+    import time
+
+    import sentencepiece
+
+    model = P.path("piece_bpe_32k.model")
+    codec, library, r = sentencepiece_codec.Codec(model), sentencepiece.SentencePieceProcessor(model_file=model), random.Random(9)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyzäé漢字") for _ in range(320_000))
+    codec.encode(text[:20_000])
+    began = time.process_time()
+    assert codec.encode(text) == library.encode(text)
+    assert time.process_time() - began < 8  # a second or two; it was 12.7 and grew with the square
+
+
+def test_quality_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(1, prose(1, 80), "KEEP", "kept?"), (2, "no", "KEEP", "kept?")], "doc_id long, text string, _m string, kept string")
+    got = corpus_pipeline.quality(spark, rows, "")
+    assert got.columns == rows.columns and all(r["_m"] == "KEEP" and r["kept"] == "kept?" for r in got.collect())
