@@ -16,8 +16,7 @@ from lodestone.llm.common import WORD, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    m = docs.withColumn("_m", F.col("text"))
-    kept = quality_rules.with_quality(m.select(F.struct(*docs.columns).alias("_row"), F.col("_m").alias("text"))).filter("kept")
+    kept = quality_rules.with_quality(docs.select(F.struct(*docs.columns).alias("_row"), "text")).filter("kept")
     return kept.select("_row.*")
 
 
