@@ -1,26 +1,29 @@
 """Brown class-based n-grams: exchange clustering, class transitions and word emissions, smoothed perplexity.
 
-A text's tokens are its words with A-Z in lower case, then one end. P(word | word before) is the class transition times the
-word's share of its class; transitions are smoothed by the class's own share, and words that training lacks share the
-Good-Turing mass (tokens of words seen once), so the probabilities of the vocabulary and one unknown word sum to 1.
-
-Counts come from all training documents. Exchange clustering runs over the words that make up at least 1 / `SHARE` of all
-tokens (so at most `SHARE` words, of up to `LONGEST` bytes) and their neighbours' classes: every sweep deals the words to
-tasks, each moves its words one after another to the class of highest likelihood, and the moves of all tasks are put together
-before the next sweep; the map of the best likelihood stays. All other words, whatever their number, get their class by one
-such exchange step against the classes of their neighbours, as a Spark job over all of them. The driver holds the classes of
-frequent words and matrices of classes by classes, never the vocabulary.
+A text's tokens are its words with A-Z in lower case, then one end. P(word | word before) is the transition from class to class
+times the word's share of its class. Transitions are smoothed by the class's own share. Words that training lacks share the
+Good-Turing mass of their class (its words seen once), so that the probabilities of the vocabulary and of one unknown word a
+class sum to 1.
+
+Counts come from all training documents. Exchange clustering moves units: every word that makes up at least 1 / `SHARE` of all
+tokens (so at most `SHARE` words, of up to `LONGEST` bytes) is one; all other words, known or not, belong to the unit of their
+last three bytes (one of `GROUPS`), so every word has a class and new ones get it without being looked up. A sweep deals the units
+to tasks; each task moves its units one after another to the class of highest likelihood; the moves of all tasks are put
+together before the next sweep, and the map of the best likelihood stays. The driver holds the units' classes and matrices of
+classes by classes, never the vocabulary: the counts of words that aren't frequent are joined to the blocks of documents that hold
+them, whatever their number.
 
 Null texts are empty: their only token is the end. Each row is a document of its own, so repeated rows and ids count each; a
 null `held_out` counts as training. Without training documents every token is unknown and scores 0. Equal gains keep
-the lower class. Other columns are ignored; an empty table gives an empty result. Memory: one block, `BLOCK` bytes of text or
-one document.
+the class. Other columns are ignored; an empty table gives an empty result. Memory: one block, `BLOCK` bytes of text or one
+document.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import freed, sliced, written
 
-CLASSES, SHARE, LONGEST, SWEEPS = 64, 50_000, 64, 6
-TASKS = 32  # that share the frequent words in a sweep
-BLOCK = 3_000_000  # bytes of text
+CLASSES, SHARE, LONGEST, GROUPS, SWEEPS = 64, 200_000, 64, 2048, 6
+TASKS = 32  # that share the units in a sweep
+BLOCK = 5_000_000  # bytes of text
 PRIOR = 5.0  # weight of a class's own share in its transitions
 HELD = 400_000  # counts that a task keeps before it hands them on; a bound on memory alone
 END = ""
@@ -45,35 +48,38 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0 (a document: its tokens as places in its block's words) and 1 (a word of a block, n: its training tokens)."""
-    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("at", pa.list_(pa.int32())), ("pos", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
-
-    def rows(size: int, **have):
-        return pa.RecordBatch.from_arrays([have[f.name].cast(f.type) if f.name in have else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+def counted(train: DataFrame) -> DataFrame:
+    """(word, n) of all tokens of a table of texts."""
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
+        seen = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
         for part in sliced(batches, BLOCK):
-            block += 1
-            place: dict = {}
-            flat, size = [], [0]
             for t in part.column("text").to_pylist():
-                own = tokens(t)
-                flat += [place.setdefault(w, len(place)) for w in own]
-                size.append(len(flat))
-            flat = np.array(flat, np.int32)
-            size = np.array(size)
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            n = np.bincount(flat, np.repeat(train, np.diff(size)), len(place)).astype(np.int64)
-            full = lambda v, k: pa.array(np.full(k, v))
-            m = part.num_rows
-            yield rows(m, block=full(block, m), kind=full(0, m), doc_id=part.column("doc_id"), held_out=part.column("held_out"), at=pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat)))
-            m = len(place)
-            yield rows(m, block=full(block, m), kind=full(1, m), pos=pa.array(np.arange(m)), word=pa.array(list(place), pa.binary()), n=pa.array(n))
+                seen.update(tokens(t))
+                if len(seen) > HELD:
+                    yield out()
+                    seen.clear()
+        yield out()
         freed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text").mapInArrow(run, "block long, kind int, doc_id long, held_out boolean, at array<int>, pos int, word string, n long")
+    return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Units:
+    """The unit of each word: a number below `frequent` for frequent words, one of `GROUPS` above it for all others."""
+
+    def __init__(self, words: list[str]):
+        self.ids = {w.encode(): i for i, w in enumerate(words)}
+        self.frequent = len(words)
+        self.size = len(words) + GROUPS
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, first = self.ids.get, self.frequent
+        return np.array([first + crc32(w[-3:]) % GROUPS if (i := get(w)) is None else i for w in words], np.int64)
 
 
 def _log(x):
@@ -90,8 +96,8 @@ def likelihood(pairs: np.ndarray) -> float:
 
 
 def exchange(words: list[tuple], of: np.ndarray, pairs: np.ndarray, classes: int) -> list[int]:
-    """New classes of words (id, other words after it, their counts, other words before it, their counts), each moved to the
-    class of highest likelihood, one after another; `of` and `pairs` follow the moves. The last class of `pairs` takes no word."""
+    """New classes of units (id, units after it, their counts, units before it, their counts), each moved to the class of highest
+    likelihood, one after another; `of` and `pairs` follow the moves."""
     size, out = len(pairs), []
     for w, after, n_after, before, n_before in words:
         own = of[w]
@@ -119,23 +125,22 @@ def exchange(words: list[tuple], of: np.ndarray, pairs: np.ndarray, classes: int
     return out
 
 
-def _neighbours(train: DataFrame, ids: dict, rare: int) -> DataFrame:
-    """A row a frequent word (and one for the others, `rare`): the words after and before it, with counts."""
+def _neighbours(train: DataFrame, units: Units) -> DataFrame:
+    """A row a unit: the units after and before it, with counts."""
 
     def run(batches):
-        get = ids.get
         for part in sliced(batches, BLOCK):
-            flat = [0]
-            for t in part.column("text").to_pylist():
-                flat += [get(w, rare) for w in tokens(t)]
-            flat = np.array(flat, np.int64)
-            pair, n = np.unique(flat[:-1] * (rare + 1) + flat[1:], return_counts=True)  # a text follows the end of the one before
-            yield pa.RecordBatch.from_arrays([pa.array((pair // (rare + 1)).astype(np.int32)), pa.array((pair % (rare + 1)).astype(np.int32)), pa.array(n)], ["w", "other", "n"])
+            flat = units.of([b"", *[w for t in part.column("text").to_pylist() for w in tokens(t)]])
+            pair = np.sort(flat[:-1] * units.size + flat[1:])  # a text follows the end of the one before
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+            n, pair = np.diff(np.append(first, len(pair))), pair[first]
+            yield pa.RecordBatch.from_arrays([pa.array((pair // units.size).astype(np.int32)), pa.array((pair % units.size).astype(np.int32)), pa.array(n)], ["w", "other", "n"])
+        freed()
 
     pairs = train.select("text").mapInArrow(run, "w int, other int, n long").groupBy("w", "other").agg(F.sum("n").alias("n"))
     sides = pairs.select(F.inline(F.array(F.struct(F.col("w"), F.lit(True).alias("after"), F.col("other"), "n"), F.struct(F.col("other").alias("w"), F.lit(False).alias("after"), F.col("w").alias("other"), "n"))))
     side = lambda after: F.array_sort(F.collect_list(F.when(F.col("after") == F.lit(after), F.struct("other", "n"))))
-    return sides.groupBy("w").agg(side(True).alias("after"), side(False).alias("before"))  # lists of at most `SHARE` + 2 words
+    return sides.groupBy("w").agg(side(True).alias("after"), side(False).alias("before"))  # lists of at most `SHARE` + `GROUPS` + 1 units
 
 
 def _lists(b: pa.RecordBatch):
@@ -143,38 +148,36 @@ def _lists(b: pa.RecordBatch):
     cols = []
     for c in ("after", "before"):
         x = b.column(c)
-        at, s = x.offsets.to_numpy(), x.values
-        cols.append((at, s.field("other").to_numpy(), s.field("n").to_numpy().astype(float)))
+        s = x.values
+        cols.append((x.offsets.to_numpy(), s.field("other").to_numpy(), s.field("n").to_numpy().astype(float)))
     for k, w in enumerate(b.column("w").to_pylist()):
         yield (w, *[v[at[k] : at[k + 1]] for at, *vs in cols for v in vs])
 
 
-def clustered(around: DataFrame, frequent: int, classes: int, sweeps: int) -> tuple[np.ndarray, list[float]]:
-    """Classes of the frequent words (ids 0 to frequent - 1; id `frequent` stands for all others and has the class `classes`), and
-    the likelihood before each sweep."""
+def clustered(around: DataFrame, size: int, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of units 0 to size - 1, the counts of class after class, and the likelihood before each sweep."""
 
     def table(of: np.ndarray) -> np.ndarray:
         def run(batches):
-            out = np.zeros((classes + 1, classes + 1))
+            out = np.zeros((classes, classes))
             for b in batches:
                 for w, after, n, *_ in _lists(b):
-                    out[of[w]] += np.bincount(of[after], n, classes + 1)
+                    out[of[w]] += np.bincount(of[after], n, classes)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["at", "n"])
 
-        total = np.zeros((classes + 1) ** 2)
+        total = np.zeros(classes**2)
         for r in around.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():  # pairs of classes
             total[r["at"]] = r.n
-        return total.reshape(classes + 1, -1)
+        return total.reshape(classes, -1)
 
-    of = np.append(np.arange(frequent) % classes, classes)
-    best, best_of, seen = -math.inf, of, []
+    of = np.arange(size) % classes
+    best, seen = None, []
     for sweep in range(sweeps + 1):
         pairs = table(of)
-        now = likelihood(pairs)
-        seen.append(now)
-        if now <= best:
+        seen.append(likelihood(pairs))
+        if best is not None and seen[-1] <= max(seen[:-1]):
             break
-        best, best_of = now, of
+        best = of, pairs
         if sweep == sweeps:
             break
 
@@ -185,165 +188,136 @@ def clustered(around: DataFrame, frequent: int, classes: int, sweeps: int) -> tu
                 for t, x in zip(b.column("task").to_pylist(), _lists(b)):
                     if t != task:  # however tasks' rows are read together, each starts from the same state
                         task, own = t, (of.copy(), pairs.copy())
-                    if x[0] < frequent:
-                        ids.append(x[0])
-                        new += exchange([x], *own, classes)
+                    ids.append(x[0])
+                    new += exchange([x], *own, classes)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(new, pa.int32())], ["w", "c"])
 
         of = of.copy()
-        for r in around.mapInArrow(moved, "w int, c int").collect():  # at most `SHARE` + 1 rows
+        for r in around.mapInArrow(moved, "w int, c int").collect():  # a row a unit
             of[r.w] = r.c
-    return best_of, seen
+    return *best, seen
 
 
-def _others(train: DataFrame, known: dict, classes: int, pairs: np.ndarray) -> DataFrame:
-    """(word, class) of all words that `known` lacks: one exchange step against the classes around them."""
-    wide = classes + 1
+class Model:
+    """What scores need beside the counts of words that aren't frequent: bounded by `SHARE`, `GROUPS` and the classes."""
 
-    def run(batches):
-        get, seen = known.get, Counter()
+    def __init__(self, units: Units, count: np.ndarray, of: np.ndarray, pairs: np.ndarray, facts: dict, once: np.ndarray):
+        self.units, self.count, self.of, self.facts = units, count, of, facts
+        self.tokens, self.words = facts["tokens"], facts["words"]
+        own = pairs.sum(0)
+        new = (once + 0.5) / (own + 1)
+        share = own / max(1, self.tokens)
+        if self.tokens:
+            step = (pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR)
+            self.step = np.log10(np.maximum(step, 1e-300))
+            self.known, self.new = np.log10((1 - new) / np.maximum(own, 1)), np.log10(new)
+        else:
+            self.step, self.known, self.new = np.zeros(pairs.shape), np.zeros(len(own)), np.zeros(len(own))
 
-        def out():
-            words, at = zip(*seen) if seen else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(at, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["word", "around", "n"])
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
 
-        for part in sliced(batches, BLOCK):
-            for t in part.column("text").to_pylist():
-                own = tokens(t)
-                c = np.array([known[b""], *[get(w, classes) for w in own]], np.int64)
-                for i in np.flatnonzero(c == classes).tolist():
-                    seen[own[i - 1], int(c[i - 1] * wide + c[i + 1])] += 1  # the end is known, so a word has a neighbour on each side
-                if len(seen) > HELD:
-                    yield out()
-                    seen.clear()
-        yield out()
+    def emission(self, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """log10 of a word's share of its class by its count; unknown words have the class's mass for new ones."""
+        return np.where(n > 0, np.log10(np.maximum(n, 1)) + self.known[of], self.new[of])
 
-    step = np.log((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * wide))
-    total = np.log(pairs.sum(1)[:classes] + 1)
-
-    def best(batches):
-        for b in batches:
-            x = b.column("around")
-            flat, of = x.values, pc.list_parent_indices(x).to_numpy()
-            flat = flat.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py())
-            at, n = flat.field("around").to_numpy(), flat.field("n").to_numpy().astype(float)
-            before, after = (np.zeros((b.num_rows, wide)) for _ in range(2))
-            np.add.at(before, (of, at // wide), n)
-            np.add.at(after, (of, at % wide), n)
-            score = before @ step[:, :classes] + after @ step[:classes].T - before.sum(1, keepdims=True) * total
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(score.argmax(1).astype(np.int32))], ["word", "class"])
-
-    counts = train.select("text").mapInArrow(run, "word string, around int, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("around", "n"))).alias("around"))  # pairs of classes
-    return rows.mapInArrow(best, "word string, class int")
-
-
-def vocabulary(docs: DataFrame, words: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
-    """The training words with count and class, and what describes the model. docs: (text, held_out); words: rows of kind 1."""
-    spark = docs.sparkSession
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).first()
-    facts = {"tokens": total.n or 0, "words": total.v, "once": total.once, "likelihood": []}
-    if not total.v:
-        return counts.withColumn("class", F.lit(0)), facts
-    often = (F.col("n") * SHARE >= F.lit(total.n)) & (F.octet_length("word") <= LONGEST) | (F.col("word") == END)
-    top = counts.filter(often).orderBy(F.col("word") != END, F.desc("n"), "word").select("word").toArrow()["word"].to_pylist()  # at most SHARE + 1 words
-    ids = {w.encode(): i for i, w in enumerate(top)}
+
+def model(docs: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, Model]:
+    """(word, n) of all training tokens, written, and the model. docs: (text, held_out)."""
     train = docs.filter(~F.coalesce("held_out", F.lit(False)))
-    around = written(_neighbours(train, ids, len(top)).repartition(TASKS, "w").sortWithinPartitions("w").withColumn("task", F.spark_partition_id()))
-    of, facts["likelihood"] = clustered(around, len(top), classes, sweeps)
-    pairs = np.zeros((classes + 1, classes + 1))
+    counts = written(counted(train))
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    facts = {"tokens": total.n or 0, "words": total.v, "likelihood": []}
+    often = (F.col("n") * SHARE >= F.lit(facts["tokens"])) & (F.octet_length("word") <= LONGEST) | (F.col("word") == END)
+    top = counts.filter(often).orderBy(F.col("word") != END, F.desc("n"), "word").toArrow() if total.v else pa.table({"word": pa.array([""]), "n": pa.array([0])})  # at most SHARE + 1 words
+    units = Units(top["word"].to_pylist())
+    of, pairs, once = np.arange(units.size) % classes, np.zeros((classes, classes)), np.zeros(classes)
+    if total.v:
+        around = written(_neighbours(train, units).repartition(TASKS, "w").sortWithinPartitions("w").withColumn("task", F.spark_partition_id()))
+        of, pairs, facts["likelihood"] = clustered(around, units.size, classes, sweeps)
+
+        def single(batches):
+            out = np.zeros(classes)
+            for b in batches:
+                out += np.bincount(of[units.of(b.column("word").cast(pa.binary()).to_pylist())], minlength=classes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(out)], ["c", "n"])
+
+        for r in counts.filter("n = 1").select("word").mapInArrow(single, "c long, n double").groupBy("c").agg(F.sum("n").alias("n")).collect():  # a row a class
+            once[r.c] = r.n
+    return counts, Model(units, top["n"].to_numpy().astype(float), of, pairs, facts, once)
+
+
+def blocks(docs: DataFrame, m: Model) -> DataFrame:
+    """Rows of kind 0 (a document: what its frequent words and its transitions score, and its other words as places in the
+    block's list) and 1 (a word of a block that isn't frequent, with its class)."""
+    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("at", pa.list_(pa.int32())), ("pos", pa.int32()), ("class", pa.int32()), ("word", pa.string())])
 
-    def summed(batches):
-        out = np.zeros_like(pairs)
-        for b in batches:
-            for w, after, n, *_ in _lists(b):
-                out[of[w]] += np.bincount(of[after], n, classes + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["at", "n"])
+    def rows(size: int, **have):
+        return pa.RecordBatch.from_arrays([have[f.name].cast(f.type) if f.name in have else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        units, end = m.units, m.of[0]
+        base, emitted = m.base(m.count), m.emission(m.count, m.of[: units.frequent])
+        for part in sliced(batches, BLOCK):
+            block += 1
+            flat, ends = [], [0]
+            for t in part.column("text").to_pylist():
+                flat += tokens(t)
+                ends.append(len(flat))
+            ends = np.array(ends)
+            unit = units.of(flat)
+            c = m.of[unit]
+            before = np.append(end, c[:-1])
+            before[ends[:-1]] = end
+            often = unit < units.frequent
+            known = np.where(often, unit, 0)
+            seen = often & (m.count[known] > 0)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(ends))
+            add = lambda x: np.bincount(doc, x, part.num_rows)
+            place: dict = {}
+            other = np.flatnonzero(~often)
+            at = np.array([place.setdefault(flat[i], len(place)) for i in other.tolist()], np.int32)
+            of = np.zeros(len(place), np.int32)
+            of[at] = c[other]
+            full = lambda v, k: pa.array(np.full(k, v))
+            n = part.num_rows
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, ends), pa.int32()), pa.array(at))
+            yield rows(n, block=full(block, n), kind=full(0, n), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=pa.array(np.diff(ends)), n_known=pa.array(add(seen).astype(np.int64)), base=pa.array(add(np.where(often, base[known], 0.0))), score=pa.array(add(m.step[before, c] + np.where(often, emitted[known], 0.0))), at=lists)
+            k = len(place)
+            yield rows(k, block=full(block, k), kind=full(1, k), pos=pa.array(np.arange(k)), word=pa.array(list(place), pa.binary()), **{"class": pa.array(of)})
+        freed()
 
-    for r in around.mapInArrow(summed, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():  # pairs of classes
-        pairs[divmod(r["at"], classes + 1)] = r.n
-    known = {w.encode(): int(c) for w, c in zip(top, of)}
-    frequent = spark.createDataFrame(pa.table({"word": pa.array(top), "class": pa.array(of[:-1].astype(np.int32))}))
-    mapped = frequent.union(_others(train, known, classes, pairs))
-    return written(counts.join(mapped, "word")), facts
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text").mapInArrow(run, "block long, kind int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, at array<int>, pos int, class int, word string")
 
 
 def scored(docs: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """docs: (doc_id, text, held_out), learning from rows that aren't held out. A row a document: numbers of tokens and of
     tokens whose word is known, the unigram base's and the model's log10 probability, the model's perplexity."""
     docs = docs.select("doc_id", "text", "held_out")
-    rows = written(blocks(docs))
-    words = rows.filter("kind = 1").select("block", "pos", "word", "n")
-    vocab, facts = vocabulary(docs, words, classes, sweeps)
-    tokens_, v = facts["tokens"], facts["words"]
-    own = np.zeros(classes + 1)
-    for r in vocab.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row a class
-        own[r["class"]] = r.n
-    wide = classes + 1
-    found = words.select("block", "pos", "word").join(vocab.withColumnRenamed("n", "c"), "word").select(F.col("block").alias("of"), "pos", "c", "class")
+    counts, m = model(docs, classes, sweeps)
+    rows = written(blocks(docs, m))
+    words = rows.filter("kind = 1").select("block", "pos", "class", "word")
+    found = words.join(counts, "word", "left").select(F.col("block").alias("of"), "pos", "class", F.coalesce("n", F.lit(0)).alias("n"))
+    head = Model.__new__(Model)  # without the units, which the sums don't need
+    head.__dict__ = {k: v for k, v in m.__dict__.items() if k not in ("units", "count", "of")}
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         at = left["at"].combine_chunks()
-        flat, doc, n = pc.list_flatten(at).to_numpy(), pc.list_parent_indices(at).to_numpy(), left.num_rows
-        size = int(flat.max(initial=-1)) + 1
-        count, of = np.zeros(size), np.full(size, classes)
+        flat, doc, size = pc.list_flatten(at).to_numpy(), pc.list_parent_indices(at).to_numpy(), left.num_rows
+        n, of = np.zeros(right.num_rows), np.zeros(right.num_rows, np.int64)
         pos = right["pos"].to_numpy()
-        count[pos], of[pos] = right["c"].to_numpy(), right["class"].to_numpy()
-        seen = count[flat] > 0
-        base = np.log10((count + 0.5) / (tokens_ + 0.5 * (v + 1)))
-        emit = np.where(count > 0, np.log10(np.maximum(count, 1) / np.maximum(own[of], 1)), 0.0)
-        c = of[flat].astype(np.int64)
-        start = int(_class_of_end)
-        before = np.roll(c, 1)
-        if len(c):
-            before[at.offsets.to_numpy()[:-1] - at.offsets[0].as_py()] = start
-        key, times = np.unique((doc.astype(np.int64) * wide + before) * wide + c, return_counts=True)
-        lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(n + 1) * wide * wide), pa.int32()), pa.array(x.astype(np.int32))) for x in (key % (wide * wide), times)]
-        add = lambda x: np.bincount(doc, x, n)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": np.diff(at.offsets.to_numpy()).astype(np.int64), "n_known": add(seen).astype(np.int64), "base_score": add(base[flat]), "emitted": add(emit[flat]), "steps": lists[0], "times": lists[1]})
-
-    end = vocab.filter(F.col("word") == END).select("class").first()
-    _class_of_end = end[0] if end else classes
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, steps array<int>, times array<int>"
-    parts = rows.filter("kind = 0").select("block", "doc_id", "held_out", "at").groupBy("block").cogroup(found.groupBy("of"))
-    parts = written(parts.applyInArrow(summed, kinds))
-
-    def pairs_of(batches):
-        out = np.zeros(wide * wide)
-        for b in batches:
-            out += np.bincount(pc.list_flatten(b.column("steps")).to_numpy(), pc.list_flatten(b.column("times")).to_numpy(), wide * wide)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(wide * wide)), pa.array(out)], ["at", "n"])
-
-    pairs = np.zeros(wide * wide)
-    for r in parts.filter("not held_out").select("steps", "times").mapInArrow(pairs_of, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():  # pairs of classes
-        pairs[r["at"]] = r.n
-    step = transitions(pairs.reshape(wide, wide), own, facts)
-
-    def score(batches):
-        for b in batches:
-            s = b.column("steps")
-            doc = pc.list_parent_indices(s).to_numpy()
-            value = step.ravel()[pc.list_flatten(s).to_numpy()] * pc.list_flatten(b.column("times")).to_numpy()
-            total = np.bincount(doc, value, b.num_rows) + b.column("emitted").to_numpy()
-            n = b.column("n_tokens").to_numpy()
-            with np.errstate(over="ignore"):
-                perplexity = 10 ** (-total / n)
-            cols = [b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(b.num_rows, tokens_)), b.column("base_score"), pa.array(total), pa.array(perplexity)], [x.split()[0] for x in OUT.split(", ")])
-
-    return parts.mapInArrow(score, OUT)
-
-
-def transitions(pairs: np.ndarray, own: np.ndarray, facts: dict) -> np.ndarray:
-    """log10 of P(class | class before), the last row and column standing for unknown words."""
-    if not facts["tokens"]:
-        return np.zeros(pairs.shape)
-    new = (facts["once"] + 0.5) / (facts["tokens"] + 1)
-    share = own[:-1] / facts["tokens"]
-    p = pairs[:, :-1] + PRIOR * share
-    p = np.vstack([p[:-1] / (pairs[:-1, :-1].sum(1, keepdims=True) + PRIOR), share])
-    return np.log10(np.maximum(np.hstack([p * (1 - new), np.full((len(pairs), 1), new)]), 1e-300))
+        n[pos], of[pos] = right["n"].to_numpy(), right["class"].to_numpy()
+        add = lambda x: np.bincount(doc, x[flat], size)
+        known = left["n_known"].to_numpy() + add((n > 0).astype(float)).astype(np.int64)
+        base, score = (left[k].to_numpy() + add(x) for k, x in (("base", head.base(n)), ("score", head.emission(n, of))))
+        tokens_ = left["n_tokens"].to_numpy()
+        with np.errstate(over="ignore"):
+            perplexity = 10 ** (-score / tokens_)
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": tokens_, "n_known": known, "train_tokens": np.full(size, head.tokens), "base_score": base, "score": score, "perplexity": perplexity})
+
+    parts = rows.filter("kind = 0").select("block", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "at")
+    return parts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(summed, OUT)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -42,46 +42,46 @@ def test_counts_and_base_scores(spark):
 
 
 def test_scores_are_the_classes_probabilities(spark, monkeypatch):
-    """From classes and counts alone; also with most words left to the step after the exchange."""
+    """From classes and counts alone; also with most words in units of several."""
     rows = [(i, t, i % 5 == 1) for i, t in enumerate([*grammar(2, 120), "unseen a1 words b2", None])]
-    for share in (50_000, 40):
+    count = Counter(w for _, t, held in rows if not held for w in plain(t))
+    for share in (200_000, 40):
         monkeypatch.setattr(C, "SHARE", share)
         df = frame(spark, rows)
-        words = C.written(C.blocks(df.select("doc_id", "text", "held_out")))
-        vocab, facts = C.vocabulary(df, words.filter("kind = 1").select("block", "pos", "word", "n"), 5, 4)
-        of = {r.word: (r["class"], r.n) for r in vocab.collect()}
-        count = Counter(w for _, t, held in rows if not held for w in plain(t))
-        assert {w: n for w, (_, n) in of.items()} == dict(count)
-        own, pairs = np.zeros(6), np.zeros((6, 6))
-        for c, n in of.values():
-            own[c] += n
-        start = of[""][0]
+        counts, m = C.model(df, 5, 4)
+        assert {r.word: r.n for r in counts.collect()} == dict(count) and (share > 40) == (m.units.frequent == len(count))
+        of = lambda w: int(m.of[m.units.of([w.encode()])[0]])  # noqa: E731,B023
+        own, pairs, once = np.zeros(5), np.zeros((5, 5)), np.zeros(5)
+        for w, n in count.items():
+            own[of(w)] += n
+            once[of(w)] += n == 1
         for _, t, held in rows:
             if not held:
-                c = [start] + [of[w][0] for w in plain(t)]
+                c = [of(w) for w in ["", *plain(t)]]
                 for a, b in zip(c, c[1:]):
                     pairs[a, b] += 1
-        step = C.transitions(pairs, own, facts)
-        # each class's transitions, and each class's words, sum to 1
-        assert np.allclose((10**step).sum(1), 1)
+        new = (once + 0.5) / (own + 1)
+        share_ = own / own.sum()
+        step = (pairs + 5 * share_) / (pairs.sum(1, keepdims=True) + 5)
+        assert np.allclose(step.sum(1), 1)
+        for c in range(5):  # a class's words and its unknown one sum to 1
+            assert own[c] == 0 or math.isclose(sum((1 - new[c]) * n / own[c] for w, n in count.items() if of(w) == c) + new[c], 1)
         for r in C.scored(df, 5, 4).collect():
-            before, total = start, 0.0
+            before, total = of(""), 0.0
             for w in plain(rows[r.doc_id][1]):
-                c, n = of.get(w, (5, 1))
-                total += step[before, c] + (math.log10(n / own[c]) if w in of else 0.0)
+                c, n = of(w), count[w]
+                total += math.log10(step[before, c]) + math.log10((1 - new[c]) * n / own[c] if n else new[c])
                 before = c
             assert abs(total - r.score) < 1e-6 and math.isclose(r.perplexity, 10 ** (-total / r.n_tokens), rel_tol=1e-6)
 
 
 def test_exchange_finds_planted_classes(spark):
     rows = [(i, t, False) for i, t in enumerate(grammar(3, 400))]
-    df = frame(spark, rows)
-    words = C.written(C.blocks(df.select("doc_id", "text", "held_out"))).filter("kind = 1")
-    vocab, facts = C.vocabulary(df, words.select("block", "pos", "word", "n"), 4, 8)
-    assert facts["likelihood"][0] < max(facts["likelihood"])
+    counts, m = C.model(frame(spark, rows), 4, 8)
+    assert m.facts["likelihood"][0] < max(m.facts["likelihood"])
     kinds = {}
-    for r in vocab.filter("n > 5").collect():
-        kinds.setdefault(r.word[:1], Counter())[r["class"]] += 1
+    for r in counts.filter("n > 5").collect():
+        kinds.setdefault(r.word[:1], Counter())[int(m.of[m.units.of([r.word.encode()])[0]])] += 1
     tops = [kinds[k].most_common(1)[0] for k in "abc"]
     assert len({c for c, _ in tops}) == 3 and all(n >= 0.9 * sum(kinds[k].values()) for k, (_, n) in zip("abc", tops))
 
@@ -90,12 +90,12 @@ def test_moves_raise_the_likelihood():
     r = np.random.default_rng(4)
     n, classes = 40, 5
     counts = r.integers(0, 4, (n, n)).astype(float)
-    of = np.append(r.integers(0, classes, n), classes)
+    of = r.integers(0, classes, n)
     words = [(w, np.arange(n), counts[w], np.arange(n), counts[:, w]) for w in range(n)]
 
     def table(of):
-        out = np.zeros((classes + 1, classes + 1))
-        np.add.at(out, (of[:-1][:, None], of[:-1][None, :]), counts)
+        out = np.zeros((classes, classes))
+        np.add.at(out, (of[:, None], of[None, :]), counts)
         return out
 
     pairs, before = table(of), C.likelihood(table(of))
