@@ -11,8 +11,8 @@ and metadata scoring cost nothing for queries that their vector hits satisfy:
 
 Chunks: (chunk_id, doc_id, title, url, text, domain, library, and any field that `scoring` weighs). A chunk without one of the five
 required fields is never returned, but takes its place among candidates. Vectors: (chunk_id, embedding); domain and library of
-its chunk filter them. Queries: (query_id, text, vector); a null vector has no vector hits, a null text is empty. Equal
-scores go by the chunk's id; equal fused scores by the source (vector, lexical, metadata) and rank that first named the chunk.
+its chunk filter them. Queries: (query_id, text, vector); a null vector has no vector hits; a null text is empty, and an empty
+one finds no words. Equal scores go by the chunk's id; equal fused scores by the source (vector, lexical, metadata) and rank that first named the chunk.
 Repeated chunk ids count as one chunk each; query ids must differ. Empty tables give an empty result.
 """
 
@@ -177,7 +177,10 @@ def metadata_candidates(asked: DataFrame, bare: DataFrame, parts: tuple, chunks:
     day = calendar.day_of_query(F.col("q"), o.now)
     asked = asked.withColumn("_day", F.concat(F.lit(f"{DAY_BOOK}-date:"), day))
     within = asked.select("query_id", F.lit(METADATA_SHARD).alias("shard"))
-    about = chunks.select("chunk_id", "domain", "library", F.col("keywords") if "keywords" in chunks.columns else F.array().cast("array<string>").alias("keywords"), F.col("source_ref").cast("string").alias("_ref") if "source_ref" in chunks.columns else F.lit("").alias("_ref"))
+    keywords = F.col("keywords") if "keywords" in chunks.columns else F.array().cast("array<string>")
+    source = F.col("source_ref").cast("string") if "source_ref" in chunks.columns else F.lit("")
+    plain = lambda x: postings.normal_value(F.coalesce(x, F.lit("")))
+    about = chunks.select("chunk_id", "domain", "library", keywords.alias("keywords"), plain(F.array_join(keywords, " ")).alias("_keywords"), plain(source).alias("_source"))
     dated = about.filter(F.col("library") == DAY_BOOK).select("chunk_id", F.explode("keywords").alias("_day"))
     held = parts[0].filter(F.col("shard") == METADATA_SHARD).select("chunk_id").distinct()
     by_day = asked.join(dated, "_day").join(held, "chunk_id", "left_semi").select("query_id", "chunk_id").distinct()
@@ -187,7 +190,7 @@ def metadata_candidates(asked: DataFrame, bare: DataFrame, parts: tuple, chunks:
     rows = pairs.join(query, "query_id").join(bare, "chunk_id").join(about, "chunk_id")
     dated = F.coalesce((F.col("library") == DAY_BOOK) & F.array_contains("keywords", F.col("_day")), F.lit(False))
     name = F.when((F.col("title") == F.col("q")) | (F.col("section") == F.col("q")), float(NAME_BONUS)).otherwise(0.0)
-    values = F.filter(F.array("title", "section", postings.normal_value(F.coalesce(F.array_join("keywords", " "), F.lit(""))), postings.normal_value(F.coalesce("_ref", F.lit("")))), lambda v: v != "")
+    values = F.filter(F.array("title", "section", "_keywords", "_source"), lambda v: v != "")
     own = F.exists(F.filter("tokens", lambda t: F.length(t["t"]) >= 4), lambda t: F.exists(values, lambda v: F.contains(v, t["t"]) | F.contains(T.loose(v), t["l"])))
     total = rows.select("query_id", "chunk_id", (name + postings.score() + F.when(dated, float(DAY_BONUS)).otherwise(0.0)).alias("score"), (dated | own).alias("structured"), "domain", "library")
     return retrieval.top_k(total.filter("score > 0"), o.candidate_k, "chunk_id")
@@ -264,7 +267,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, shards:
     strict = gates.join(words.select("query_id", F.lit(True).alias("_w")).distinct(), "query_id", "left").select("query_id", "strict", "domains", (F.size("hits") > 0).alias("_h"), F.coalesce("_w", F.lit(False)).alias("_w"))
     ok = ~F.col("strict") | (~F.col("_h") & ~F.col("_w") & F.coalesce(F.array_contains("domains", F.col("domain")), F.lit(False)))
     meta = keep(strong(meta.join(strict, "query_id").filter(ok).select(*meta.columns)))
-    top = gates.select("query_id", F.coalesce(~is_bible(F.col("hits")[0]["chunk_id"], F.col("hits")[0]["domain"]), F.lit(False)).alias("_other"))
+    top = gates.select("query_id", F.coalesce(~is_bible(F.get("hits", F.lit(0))["chunk_id"], F.get("hits", F.lit(0))["domain"]), F.lit(False)).alias("_other"))
     bible = F.col("chunk_id").startswith("bible-summary:") | F.col("chunk_id").startswith("verse:")
     firm = (F.col("score") >= STRONG_LEXICAL) & F.col("structured")
     words = keep(words.join(top, "query_id").filter(~(F.col("_other") & bible & ~firm)).drop("_other"))
