@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import freed, kept, sliced, written
 
-BLOCK = 3_000_000  # bytes of text
+BLOCK = 1_500_000  # bytes of text
 CACHE = 5_000_000  # characters of encoded parts that a worker keeps; a bound on memory alone
 CUT, BLANKS = re.compile(r"(?<! ) (?=\S)"), re.compile(r"\s{20000}")
 DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
