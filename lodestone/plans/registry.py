@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import admission, answers, evaluate, ingest, observability, retrieval, routing, scoring
+from lodestone.plans import retrieval_queries
 
 LEXICAL = [(1, "the and"), (2, "license cc by"), (3, "de la")]
 CUTOFF = "2024-01-20 00:00:00"
@@ -292,3 +293,5 @@ n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 SELECT user_id, session_no, count(*) AS events, min(ts) AS started, max(ts) AS ended FROM n GROUP BY 1, 2""",
     "asof_rating": _EVENTS + ", r AS (SELECT user_id, ts, max(k) AS last_k FROM e WHERE event_type <> 'purchase' GROUP BY ALL) SELECT p.event_id, r.last_k FROM e p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.ts >= r.ts WHERE p.event_type = 'purchase'",
 }
+QUERIES |= retrieval_queries.QUERIES
+ORACLE_SQL |= retrieval_queries.ORACLE_SQL
