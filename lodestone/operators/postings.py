@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import scoring
 
-FIELDS = "array<struct<v:string,l:string,w:int,s:boolean>>"
+FIELDS = "array<struct<v:string,l:string,c:string,w:int,s:boolean>>"
 VALUES = "array<struct<v:string,l:string>>"
 
 
@@ -59,7 +59,7 @@ def prepared(chunks: DataFrame, stop: frozenset[str] = frozenset(), normal=norma
     text = lambda c: normal(F.coalesce(F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string"), F.lit("")))
     blank = [c for c in ("title", "section") if c not in have]
     base = chunks.select("chunk_id", F.coalesce(F.col("domain").isin(*scoring.ENRICHED_DOMAINS), F.lit(False)).alias("_rich") if "domain" in kinds else F.lit(False).alias("_rich"), *[text(c).alias(c) for c in have], *[F.lit("").alias(c) for c in blank])
-    field = lambda c, w, s: F.struct(F.col(c).alias("v"), T.loose(F.col(c)).alias("l"), F.lit(w).alias("w"), F.lit(s).alias("s"))
+    field = lambda c, w, s: F.struct(F.col(c).alias("v"), T.loose(F.col(c)).alias("l"), T.compact(F.col(c)).alias("c"), F.lit(w).alias("w"), F.lit(s).alias("s"))
     filled = lambda a, kind: F.filter(a, lambda x: x["v"] != "") if a is not None else F.array().cast(kind)
     plain = [field(c, scoring.WEIGHTS[c], False) for c in have if c in scoring.WEIGHTS]
     rich = [field(c, scoring.ENRICHMENT[c], True) for c in have if c in scoring.ENRICHMENT]
@@ -75,14 +75,15 @@ def prepared(chunks: DataFrame, stop: frozenset[str] = frozenset(), normal=norma
 
 def _field_points(x: Column) -> Column:
     """Points of one field for the query columns."""
-    v, freed, w, s = x["v"], x["l"], x["w"], x["s"]
+    v, freed, squeezed, w, s = x["v"], x["l"], x["c"], x["w"], x["s"]
     whole = F.when(F.contains(v, F.col("q")), w.cast("double")).otherwise(0.0)
     part = lambda n: F.floor(w / n).cast("double")
     token = lambda t: F.when(F.contains(v, t["t"]), F.greatest(F.lit(0.25), part(4) * t["f"])).when((F.length(t["t"]) >= 4) & F.contains(freed, t["l"]), F.greatest(F.lit(0.25), part(5) * t["f"])).otherwise(0.0)
-    squeezed = F.regexp_replace(v, r"(?U)\s+", "")
-    phrase = lambda p, c: F.when(F.contains(v, p["p"]), F.when(s, w.cast("double")).otherwise(F.greatest(F.lit(2.0), part(2)))).otherwise(0.0) + F.when(F.contains(c, p["c"]), F.greatest(F.lit(2.0), F.when(s, part(2)).otherwise(part(3)))).otherwise(0.0)
-    phrases = F.aggregate(F.transform(F.array(squeezed), lambda c: F.aggregate("phrases", F.lit(0.0), lambda a, p: a + phrase(p, c))), F.lit(0.0), lambda a, b: a + b)
-    return whole + F.aggregate("tokens", F.lit(0.0), lambda a, t: a + token(t)) + phrases
+    # a field that holds a phrase holds it squeezed too
+    found = F.filter("phrases", lambda p: F.contains(squeezed, p["c"]))
+    both = F.greatest(F.lit(2.0), F.when(s, part(2)).otherwise(part(3)))
+    phrase = lambda p: both + F.when(F.contains(v, p["p"]), F.when(s, w.cast("double")).otherwise(F.greatest(F.lit(2.0), part(2)))).otherwise(0.0)
+    return whole + F.aggregate("tokens", F.lit(0.0), lambda a, t: a + token(t)) + F.aggregate(found, F.lit(0.0), lambda a, p: a + phrase(p))
 
 
 def _held(values: Column, group: Column) -> Column:
@@ -119,7 +120,7 @@ def index(chunks: DataFrame, shards: DataFrame | None = None) -> tuple[DataFrame
     post = rows.select("shard", "chunk_id", F.explode(words).alias("word")).filter("word != ''")
     pieces = F.array_distinct(F.concat(*[_pieces(F.col("word"), n) for n in (1, 2, 3)]))
     grams = post.select("word").distinct().select("word", F.explode(pieces).alias("gram"))
-    four = F.array_distinct(F.flatten(F.transform("fields", lambda f: _pieces(F.regexp_replace(f["v"], r"(?U)\s+", ""), 4))))
+    four = F.array_distinct(F.flatten(F.transform("fields", lambda f: _pieces(f["c"], 4))))
     heads = rows.filter(F.size("title_words") > 0).select("shard", "chunk_id", "title", F.substring("title", 1, 3).alias("gram"))
     return post, grams, rows.select("shard", "chunk_id", F.explode(four).alias("gram")), heads
 

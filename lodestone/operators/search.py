@@ -171,7 +171,7 @@ def lexical_candidates(asked: DataFrame, keys: str, ready: DataFrame, parts: tup
     return retrieval.top_k(postings.scored(asked, ready, found), o.candidate_k, "_n", "chunk_id").drop("_n")
 
 
-def metadata_candidates(asked: DataFrame, bare: DataFrame, parts: tuple, chunks: DataFrame, o: Options) -> DataFrame:
+def metadata_candidates(asked: DataFrame, bare: DataFrame, parts: tuple, chunks: DataFrame, o: Options, keep=stored) -> DataFrame:
     """(query_id, chunk_id, score, structured, domain, library, rank): chunks of the metadata shard by their fields but the text,
     with a bonus for the query's own name and for the day that it asks for."""
     day = calendar.day_of_query(F.col("q"), o.now)
@@ -179,19 +179,20 @@ def metadata_candidates(asked: DataFrame, bare: DataFrame, parts: tuple, chunks:
     within = asked.select("query_id", F.lit(METADATA_SHARD).alias("shard"))
     keywords = F.col("keywords") if "keywords" in chunks.columns else F.array().cast("array<string>")
     source = F.col("source_ref").cast("string") if "source_ref" in chunks.columns else F.lit("")
-    plain = lambda x: postings.normal_value(F.coalesce(x, F.lit("")))
-    about = chunks.select("chunk_id", "domain", "library", keywords.alias("keywords"), plain(F.array_join(keywords, " ")).alias("_keywords"), plain(source).alias("_source"))
+    names = [F.array_join(keywords, " "), source, *[F.col(c) if c in chunks.columns else F.lit("") for c in ("title", "section")]]
+    texts = chunks.select("chunk_id", "domain", "library", keywords.alias("keywords"), *[postings.normal_value(F.coalesce(x, F.lit(""))).alias(f"_{n}") for n, x in enumerate(names)])
+    named = F.filter(F.array(*[F.struct(F.col(f"_{n}").alias("v"), T.loose(F.col(f"_{n}")).alias("l")) for n in range(len(names))]), lambda x: x["v"] != "")
+    about = keep(texts.select("chunk_id", "domain", "library", "keywords", named.alias("_names")))
     dated = about.filter(F.col("library") == DAY_BOOK).select("chunk_id", F.explode("keywords").alias("_day"))
     held = parts[0].filter(F.col("shard") == METADATA_SHARD).select("chunk_id").distinct()
     by_day = asked.join(dated, "_day").join(held, "chunk_id", "left_semi").select("query_id", "chunk_id").distinct()
-    named = [bare.filter(F.col(c) != "").select("chunk_id", F.col(c).alias("q")).join(held, "chunk_id", "left_semi").join(asked.select("query_id", "q"), "q").select("query_id", "chunk_id") for c in ("title", "section")]
-    pairs = postings.candidates(asked, parts, within).select("query_id", "chunk_id").union(by_day).union(named[0]).union(named[1]).distinct()
+    by_name = [bare.filter(F.col(c) != "").select("chunk_id", F.col(c).alias("q")).join(held, "chunk_id", "left_semi").join(asked.select("query_id", "q"), "q").select("query_id", "chunk_id") for c in ("title", "section")]
+    pairs = postings.candidates(asked, parts, within).select("query_id", "chunk_id").union(by_day).union(by_name[0]).union(by_name[1]).distinct()
     query = asked.select("query_id", "q", "tokens", "phrases", "groups", "words", "_day")
     rows = pairs.join(query, "query_id").join(bare, "chunk_id").join(about, "chunk_id")
     dated = F.coalesce((F.col("library") == DAY_BOOK) & F.array_contains("keywords", F.col("_day")), F.lit(False))
     name = F.when((F.col("title") == F.col("q")) | (F.col("section") == F.col("q")), float(NAME_BONUS)).otherwise(0.0)
-    values = F.filter(F.array("title", "section", "_keywords", "_source"), lambda v: v != "")
-    own = F.exists(F.filter("tokens", lambda t: F.length(t["t"]) >= 4), lambda t: F.exists(values, lambda v: F.contains(v, t["t"]) | F.contains(T.loose(v), t["l"])))
+    own = F.exists(F.filter("tokens", lambda t: F.length(t["t"]) >= 4), lambda t: F.exists("_names", lambda x: F.contains(x["v"], t["t"]) | F.contains(x["l"], t["l"])))
     total = rows.select("query_id", "chunk_id", (name + postings.score() + F.when(dated, float(DAY_BONUS)).otherwise(0.0)).alias("score"), (dated | own).alias("structured"), "domain", "library")
     return retrieval.top_k(total.filter("score > 0"), o.candidate_k, "chunk_id")
 
@@ -241,7 +242,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, shards:
     parts = tuple(keep(x) for x in postings.index(ready, shards))
     bare = keep(postings.prepared(chunks, o.stop, leave=("search_text",)))
     asked = keep(routes(queries, rules, o))
-    early = keep(metadata_candidates(asked.filter("discover"), bare, parts, chunks, o))
+    early = keep(metadata_candidates(asked.filter("discover"), bare, parts, chunks, o, keep))
     asked = discovered(asked, early, o)
     near = keep(vector_candidates(asked, vectors, chunks, o))
     first = hydrated(near, chunks, o.top_k)
@@ -261,7 +262,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, shards:
     again = keep(lexical_candidates(empty.withColumn("keys", lexical_keys(o, "wide")), "keys", ready, parts, o))
     words = words.unionByName(again)
     gates = gates.join(empty.select("query_id", F.lit(True).alias("expand")), "query_id", "left").withColumn("expand", F.coalesce("expand", F.lit(False)))
-    late = metadata_candidates(gates.filter("metadata and not discover"), bare, parts, chunks, o)
+    late = metadata_candidates(gates.filter("metadata and not discover"), bare, parts, chunks, o, keep)
     meta = early.join(gates.filter("metadata").select("query_id"), "query_id", "left_semi").unionByName(late)
     meta = quiet(meta, gates, o)
     strict = gates.join(words.select("query_id", F.lit(True).alias("_w")).distinct(), "query_id", "left").select("query_id", "strict", "domains", (F.size("hits") > 0).alias("_h"), F.coalesce("_w", F.lit(False)).alias("_w"))
