@@ -25,7 +25,7 @@ from lodestone.llm.common import kept
 
 SPACE = "▁"
 LAST = float("inf")
-CACHE_BYTES, AGREE, ENTRY = 40_000_000, 120_000, 240  # bounds on memory alone: parts beyond them are encoded anew
+CACHE_BYTES, AGREE, ENTRY = 100_000_000, 120_000, 240  # bounds on memory alone: parts beyond them are encoded anew
 ROWS = 500  # texts that are Python strings at once
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -68,6 +68,7 @@ class Codec:
         held = "".join(re.escape(c) for c in self.rank if len(c) == 1)
         self.unknown = re.compile(f"([^{held}]+)")
         self.agree: dict = {}
+        self.told = 0
         self.cache: dict = {}
         self.older: dict = {}
         self.held = 0
@@ -114,19 +115,14 @@ class Codec:
         return [p for p in parts if p]
 
     def fits(self, a: str | None, b: str) -> bool:
-        key = (a, b)
-        if (known := self.agree.get(key)) is None:
-            known = self.merged(b if a is None else a + b) == ([b] if a is None else [a, b])
-            if len(self.agree) >= AGREE:
-                self.agree.clear()
-            self.agree[key] = known
+        known = self.merged(b if a is None else a + b) == ([b] if a is None else [a, b])
+        if self.told >= AGREE:
+            self.agree.clear()
+            self.told = 0
+        self.agree.setdefault(a, {})[b] = known
+        self.told += 1
         return known
 
-    def _longest(self, text: str, at: int) -> str:
-        """The longest piece that starts at a place; each character of text is a piece, so one does. The automaton sees no more
-        of the text than the longest piece has characters, so a place costs the same in texts of any length."""
-        return next(self.trie.iter_long(text[at : at + self.longest]))[1]
-
     def _shorter(self, piece: str) -> str:
         """The next shorter piece that a piece starts with; empty if none."""
         if (known := self.shorter.get(piece)) is None:
@@ -137,17 +133,20 @@ class Codec:
         return known
 
     def _known(self, text: str) -> list[str]:
-        """Pieces of a text whose characters are all in the vocabulary."""
+        """Pieces of a text whose characters are all in the vocabulary. The automaton sees no more of it at a place than the longest
+        piece has characters, so a place costs the same in texts of any length; each character is a piece, so one is found."""
         n, at = len(text), 0
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
         agree, fits, shorter = self.agree, self.fits, self._shorter
-        last, piece = None, self._longest(text, 0)
+        longest, long = self.trie.iter_long, self.longest
+        last, piece = None, next(longest(text[:long]))[1]
         while True:
+            after = agree.get(last) or {}
             while piece:
                 end = at + len(piece)
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    ok = agree.get((last, piece))
+                    ok = after.get(piece)
                     if ok or ok is None and fits(last, piece):
                         break
                 piece = shorter(piece)
@@ -155,7 +154,7 @@ class Codec:
                 out.append(piece)
                 if end == n:
                     return out
-                at, last, piece = end, piece, self._longest(text, end)
+                at, last, piece = end, piece, next(longest(text[end : end + long]))[1]
             else:
                 if not out:
                     raise ValueError("no encoding found")
