@@ -7,7 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import ladder, postings, retrieval, router, search
+from lodestone.functions import text as T
+from lodestone.operators import enrichment, ladder, postings, retrieval, router, search
 
 DOMAIN_OF = {"en": "ta3lim", "fr": "bible", "de": "taqs", "es": "saints"}
 NOW = datetime.datetime(2024, 1, 20, 12, tzinfo=datetime.timezone.utc)
@@ -115,6 +116,35 @@ SELECT event_id AS request_id, scope, day, CASE pick {' '.join(f"WHEN {i} THEN '
   CASE pick {' '.join(f'WHEN {i} THEN n{i}' for i in n)} END AS day_count, CASE pick {' '.join(f'WHEN {i} THEN t{i}' for i in n)} END AS day_tokens FROM f WHERE k > 0"""
 
 
+LATIN = enrichment.Script(letters="[a-z]", headers=("the", "der", "que", "les"), filler=("and", "und", "los"), concepts=("nicht",), headings=(), compose=False)
+
+
+def entity_enrichment(spark, d):
+    """Documents' lines as rows of a markdown table; rows that hold one of four words name the columns below them."""
+    rows = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
+    out = enrichment.enriched(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), rows.alias("text")), s=LATIN)
+    return out.select("chunk_id", F.array_join("entities", ";").alias("entities"), F.array_join("aliases", ";").alias("aliases"))
+
+
+_listed = lambda x: "('" + "', '".join(x) + "')"
+_normal = lambda x: f"lower(trim(regexp_replace(translate({x}, '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+_once = lambda x: f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+ENRICHMENT_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+r AS (SELECT doc_id, line, list_filter(list_transform(string_split(x, '|'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), lambda c: c <> '' AND NOT regexp_matches(regexp_replace(c, '\\s+', '', 'g'), '^-+$')) AS c FROM l),
+e AS (SELECT doc_id, line, unnest(c) AS name, generate_subscripts(c, 1) AS pos FROM r),
+n AS (SELECT *, {_normal("name")} AS n FROM e),
+h AS (SELECT doc_id, line, list(pos) FILTER (n IN {_listed(LATIN.headers)}) AS own FROM n GROUP BY ALL),
+k AS (SELECT doc_id, line, own, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS cols FROM h),
+f AS (SELECT doc_id, line, pos, name, n, list_filter(string_split(n, ' '), lambda w: w <> '') AS w FROM n JOIN k USING (doc_id, line) WHERE own IS NULL AND (cols IS NULL OR list_contains(cols, pos))),
+g AS (SELECT * FROM f WHERE len(w) BETWEEN 1 AND 5 AND regexp_matches(n, '[a-z]') AND NOT regexp_matches(n, '[0-9]') AND w[1] NOT IN {_listed(LATIN.concepts)} AND len(list_filter(w, lambda y: length(y) >= 3 AND y NOT IN {_listed(LATIN.filler)})) > 0),
+s AS (SELECT * FROM g WHERE len(w) <= 4 AND len(regexp_split_to_array(name, '\\s+')) <= 3 AND len(list_filter(regexp_split_to_array(name, '\\s+'), lambda y: length(y) >= 3)) > 0),
+a AS (SELECT doc_id, list(name ORDER BY line, pos) AS v, list(n ORDER BY line, pos) AS n, list(w ORDER BY line, pos) AS w FROM s GROUP BY 1),
+b AS (SELECT doc_id, {_once("v")}[1:24] AS v, list_zip(v, w) AS z FROM a),
+c AS (SELECT doc_id, v, flatten(list_transform(list_filter(z, lambda y: list_contains(v, y[1]) AND len(y[2]) BETWEEN 2 AND 5), lambda y: list_filter([y[2][1]], lambda t: length(t) >= 3 AND t NOT IN {_listed(LATIN.filler)}) || [array_to_string(y[2], '')])) AS al FROM b)
+SELECT d.doc_id AS chunk_id, coalesce(array_to_string(v, ';'), '') AS entities, coalesce(array_to_string({_once("al")}[1:24], ';'), '') AS aliases FROM documents d LEFT JOIN c USING (doc_id)"""
+
+
 QUOTA_SQL = """
 WITH e AS (SELECT event_id, ts, user_id AS actor, user_id % 11 AS network, ts::DATE AS day FROM events),
 a AS (SELECT *, row_number() OVER (PARTITION BY day, actor ORDER BY ts, event_id) AS n FROM e WHERE actor IS NOT NULL),
@@ -131,5 +161,5 @@ f AS (SELECT user_id, k, event_id, true AS accepted, ms AS last FROM e WHERE k =
   UNION ALL SELECT e.user_id, e.k, e.event_id, e.ms - f.last >= 60000, CASE WHEN e.ms - f.last >= 60000 THEN e.ms ELSE f.last END FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.k = f.k + 1)
 SELECT event_id, accepted FROM f"""
 
-QUERIES = {"route_domains": route_domains, "postings_topk": postings_topk, "retrieve_chunks": retrieve_chunks, "ladder_quota": ladder_quota}
-ORACLE_SQL = {"route_domains": router.oracle_sql(router.default_rules(), _SAID), "postings_topk": POSTINGS_SQL, "ladder_quota": _ladder_sql(), "quota_admission": QUOTA_SQL, "leaky_rpm": LEAKY_SQL}
+QUERIES = {"route_domains": route_domains, "postings_topk": postings_topk, "retrieve_chunks": retrieve_chunks, "ladder_quota": ladder_quota, "entity_enrichment": entity_enrichment}
+ORACLE_SQL = {"route_domains": router.oracle_sql(router.default_rules(), _SAID), "postings_topk": POSTINGS_SQL, "ladder_quota": _ladder_sql(), "entity_enrichment": ENRICHMENT_SQL, "quota_admission": QUOTA_SQL, "leaky_rpm": LEAKY_SQL}
