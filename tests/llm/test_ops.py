@@ -290,7 +290,7 @@ def test_fingerprints_against_brute_force(spark):
     for i, j in itertools.permutations(range(len(prints)), 2):
         n = len(prints[i])
         errors = [np.bitwise_count(prints[i][max(0, -o) :][: n - abs(o)] ^ prints[j][max(0, o) :][: n - abs(o)]).sum() / (32 * (n - abs(o))) for o in range(-(n // 2), n // 2 + 1)]
-        if min(errors) <= audio_fingerprint.MOST_ERRORS and (of[j] == j or of[i] == of[j]):
+        if min(errors) <= 0.25 and (of[j] == j or of[i] == of[j]):
             want.add((i * 100, j * 100, round(float(min(errors)), 6)))
     got = {(x.query_id, x.vec_id, x.bit_error) for x in audio_fingerprint.matches(v, v).collect()}
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 100
@@ -298,24 +298,34 @@ def test_fingerprints_against_brute_force(spark):
 
 
 def test_fingerprints_in_noise(spark):
+    """Recall by band of wrong bits; the limit of 0.25 stands here, whatever the module's is."""
     import numpy as np
+    import pyarrow as pa
 
     r = np.random.default_rng(4)
-    clean = [audio_fingerprint.samples(r.normal(0, 0.125, 64)) for _ in range(150)]
-    prints, queries, keys, want = [], [], [], set()
+    clean = [audio_fingerprint.samples(r.normal(0, 0.125, 64)) for _ in range(60)]
+    prints, queries, keys, want = [], [], ([], [], []), {}
     for i, x in enumerate(clean):
         prints.append((i, audio_fingerprint.fingerprint(x).tolist()))
-        for k, sd in enumerate((0.25, 0.5, 0.75, 1.0, 1.25, 1.5)):  # noise up to twice the power of the tone
+        for k, sd in enumerate((0.5, 0.75, 1.0, 1.25, 1.5)):  # noise up to twice the power of the tone
             values = audio_fingerprint.levels(x + r.normal(0, sd, len(x)))
             mine, q = audio_fingerprint.packed(values), 1000 * (k + 1) + i
             queries.append((q, mine.tolist()))
-            keys += [(q, int(v), p.tolist()) for v, p in zip(*audio_fingerprint.probe_rows(values))]
-            if np.bitwise_count(mine ^ np.array(prints[i][1], np.uint32)).mean() / 32 <= audio_fingerprint.MOST_ERRORS:
-                want.add((q, i))
+            found, places = audio_fingerprint.probe_rows(values)
+            for column, part in zip(keys, ([q] * len(found), found.tolist(), places)):
+                column.extend(part)
+            error = float(np.bitwise_count(mine ^ np.array(prints[i][1], np.uint32)).mean() / 32)
+            if error <= 0.25:
+                want[q, i] = error
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, print array<long>")
-    found = audio_fingerprint.aligned(frame(prints), frame(queries), spark.createDataFrame(keys, "query_id long, key long, qs array<int>")).collect()
+    table = pa.table({"query_id": pa.array(keys[0], pa.int64()), "key": pa.array(keys[1], pa.int64()), "qs": pa.array(keys[2], pa.list_(pa.int32()))})
+    found = audio_fingerprint.aligned(frame(prints), frame(queries), spark.createDataFrame(table)).collect()
     got = {(x.query_id, x.vec_id) for x in found if x.offset == 0}
-    assert len(want) > 600 and len(want & got) >= 0.9 * len(want)
+    assert len(want) > 200 and len(want.keys() & got) >= 0.9 * len(want)
+    near = {k for k, e in want.items() if e <= 0.2}
+    assert len(near) > 100 and len(near & got) >= 0.97 * len(near)
+    far = [k for k, e in want.items() if e > 0.2]
+    print("from 0.2 to 0.25:", len(far), len(set(far) & got))
 
 
 def test_pipeline(spark):
