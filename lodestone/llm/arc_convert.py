@@ -8,8 +8,8 @@ revisits that name it; their blocks hold the HTTP header alone.
 
 Archives are written by Spark's text sink, one file of about `segment` bytes a row (a larger record has a file of its
 own), and read as binary files, so any store that Spark knows serves. Null payloads are empty; a null URL becomes
-`urn:page:<id>`; spaces in URLs are percent-encoded; rows with equal page ids and payloads are responses all; an empty
-table gives an empty result; other columns are ignored.
+`urn:page:<id>`; spaces in URLs are percent-encoded; rows with equal page ids and payloads are responses all; rows
+without a page id revisit the record of the smallest id, and are responses all where no equal payload has one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def convert(spark, arc: str, warc: str, least: int = 0) -> None:
     files = spark.read.format("binaryFile").load(arc).select("path", "content")
     slim = files.mapInArrow(_slim, "path string, pos int, page_id long, n long, digest string").filter(F.col("n") >= least)
     first = slim.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    again = slim.join(first, ["digest", "n"]).filter("page_id <> first").groupBy("path").agg(F.collect_list(F.struct("pos", "first")).alias("revisits"))  # at most one file's records
+    again = slim.join(first, ["digest", "n"]).filter("first is not null and (page_id is null or page_id <> first)").groupBy("path").agg(F.collect_list(F.struct("pos", "first")).alias("revisits"))  # at most one file's records
     rows = files.join(again, "path", "left").select("path", "content", "revisits").mapInArrow(_convert, "value string")
     rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(warc)
 
@@ -196,8 +196,3 @@ def query(pages: DataFrame, version: str = "1") -> DataFrame:
     write_arc(pages, f"{at}/arc", version)
     convert(spark, f"{at}/arc", f"{at}/warc")
     return read_warc(spark, f"{at}/warc")
-
-
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
-SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, (page_id <> first) AS is_revisit, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)"""

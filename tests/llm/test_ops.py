@@ -360,3 +360,18 @@ def test_quality_stage_keeps_columns_of_any_name(spark):
     rows = spark.createDataFrame([(1, prose(1, 80), "KEEP", "kept?"), (2, "no", "KEEP", "kept?")], "doc_id long, text string, _m string, kept string")
     got = corpus_pipeline.quality(spark, rows, "")
     assert got.columns == rows.columns and all(r["_m"] == "KEEP" and r["kept"] == "kept?" for r in got.collect())
+
+
+def test_chat_turns_without_a_number_come_last(spark):
+    t = spark.createDataFrame([(1, None, "assistant", "z"), (1, 5, "user", "a"), (1, None, "assistant", "b"), (1, 0, None, None)], "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(1), "last": F.lit(2), "turns": F.lit(3)})
+    got = chat_format.query(t).filter("conv_id = 1").first()
+    said = "".join(f"{r}\n{x}\n" for r, x in (("", ""), ("user", "a"), ("assistant", "b"), ("assistant", "z")))
+    assert got.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(b"bz").hexdigest()
+    full = {r.example_no: r for r in chat_format.expanded(chat_format.examples(t)).collect()}
+    assert [full[k].text[full[k].loss_start : full[k].loss_end] for k in sorted(full)] == ["b", "z"] and full[1].text.startswith(full[0].text)
+
+
+def test_pages_without_an_id_revisit_the_one_that_has_one(spark):
+    p = spark.createDataFrame([(None, "u", "same"), (5, "u", "same"), (None, "v", "same"), (7, "v", "same"), (None, "w", "alone"), (None, "x", "alone"), (9, "y", "z" * 9_000_000)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in arc_convert.query(p).collect()), key=str)
+    assert got == sorted([(None, 4, "revisit", 5), (5, 4, "response", None), (None, 4, "revisit", 5), (7, 4, "revisit", 5), (None, 5, "response", None), (None, 5, "response", None), (9, 9_000_000, "response", None)], key=str)
