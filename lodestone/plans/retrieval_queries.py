@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import enrichment, ladder, postings, retrieval, router, search
+from lodestone.operators import enrichment, ladder, postings, reports, retrieval, router, search
 
 DOMAIN_OF = {"en": "ta3lim", "fr": "bible", "de": "taqs", "es": "saints"}
 NOW = datetime.datetime(2024, 1, 20, 12, tzinfo=datetime.timezone.utc)
@@ -145,6 +145,48 @@ c AS (SELECT doc_id, v, flatten(list_transform(list_filter(z, lambda y: list_con
 SELECT d.doc_id AS chunk_id, coalesce(array_to_string(v, ';'), '') AS entities, coalesce(array_to_string({_once("al")}[1:24], ';'), '') AS aliases FROM documents d LEFT JOIN c USING (doc_id)"""
 
 
+def query_events(spark, d) -> DataFrame:
+    """Events as query events: types and parts of props are domains, users' documents sources, values CPU times."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, d, "events").select(
+        F.col("event_id"), F.col("ts").alias("created_at"), "user_id", F.concat("event_type", F.lit(" "), (k % 7).cast("string")).alias("query_text"), (F.col("event_type") != "error").alias("answered"), (k % 2 == 0).alias("retrieved"), (k % 5 == 0).alias("cited"),
+        F.when(k % 3 == 0, "up").when(k % 3 == 1, "down").alias("rating"), F.array("event_type", F.concat(F.lit("t"), (k % 4).cast("string"))).alias("domains"), F.when(k % 6 > 0, F.array((F.col("user_id") % 40).cast("string"))).alias("doc_ids"),
+        F.when(k % 4 == 0, F.lit("late")).alias("failure_reason"), F.col("value").alias("cpu_ms"), (F.col("value") > 80).alias("over_budget"),
+    )
+
+
+START = datetime.datetime(2024, 1, 10)
+
+
+def domain_report(spark, d):
+    """The largest groups of domains from a day on, with the topics of those groups alone."""
+    out = reports.domain_groups(reports.filtered(query_events(spark, d), START), 7)
+    return out.withColumn("topics", F.array_join("topics", ","))
+
+
+def source_report(spark, d):
+    return reports.sources(reports.filtered(query_events(spark, d), START, feedback="down", topic="T1"))
+
+
+_QE = """e AS (SELECT *, (props->>'$.k')::INT AS k FROM events),
+v AS (SELECT event_id, ts AS created_at, user_id, event_type || ' ' || (k % 7) AS query_text, event_type <> 'error' AS answered, k % 2 = 0 AS retrieved, k % 5 = 0 AS cited, CASE k % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END AS rating,
+  '["' || event_type || '","t' || (k % 4) || '"]' AS domains, event_type, 't' || (k % 4) AS t, CASE WHEN k % 6 > 0 THEN '["' || (user_id % 40) || '"]' END AS doc_ids, CASE WHEN k % 4 = 0 THEN 'late' END AS failure_reason, value AS cpu_ms, value > 80 AS over_budget FROM e)"""
+REPORT_SQL = {
+    "event_totals": f"""WITH {_QE}, s AS (SELECT count(*) AS total_queries, count_if(answered)::BIGINT AS answered_queries, count_if(retrieved)::BIGINT AS retrieved_references, count_if(cited)::BIGINT AS cited_references, count_if(rating = 'up')::BIGINT AS likes, count_if(rating = 'down')::BIGINT AS dislikes,
+  count_if(rating IS NULL)::BIGINT AS neutral, count_if(over_budget)::BIGINT AS over_budget_queries FROM v)
+SELECT *, floor(100.0 * answered_queries / total_queries + 0.5)::BIGINT || '%' AS answered_percent, floor(100.0 * over_budget_queries / total_queries + 0.5)::BIGINT || '%' AS over_budget_percent FROM s""",
+    "domain_report": f"""WITH {_QE}, g AS (SELECT domains, event_type, t, count(*) AS total_queries, count_if(answered)::BIGINT AS answered_queries, count_if(rating = 'down')::BIGINT AS dislikes FROM v WHERE created_at >= TIMESTAMP '2024-01-10' GROUP BY ALL ORDER BY total_queries DESC, domains LIMIT 7)
+SELECT domains, total_queries, answered_queries, dislikes, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT event_type AS x FROM g UNION SELECT t FROM g)) AS topics FROM g""",
+    "source_report": f"""WITH {_QE} SELECT doc_ids, count(*) AS total_queries, count_if(rating = 'down')::BIGINT AS dislikes FROM v WHERE created_at >= TIMESTAMP '2024-01-10' AND rating = 'down' AND contains(lower(domains), 't1') AND doc_ids IS NOT NULL
+GROUP BY 1 ORDER BY dislikes DESC, total_queries DESC, doc_ids LIMIT 25""",
+    "failure_report": f"""WITH {_QE} SELECT query_text, failure_reason, count(*) AS total_queries FROM v WHERE NOT answered GROUP BY ALL ORDER BY total_queries DESC, query_text, failure_reason NULLS FIRST LIMIT 25""",
+    "over_budget_report": f"""WITH {_QE} SELECT created_at, user_id, query_text, cpu_ms, event_id FROM v WHERE over_budget ORDER BY cpu_ms DESC, created_at DESC, event_id LIMIT 25""",
+}
+REPORTS = {
+    "event_totals": lambda s, d: reports.totals(query_events(s, d)), "domain_report": domain_report, "source_report": source_report, "failure_report": lambda s, d: reports.failures(query_events(s, d)),
+    "over_budget_report": lambda s, d: reports.over_budget(query_events(s, d), reports.OVER_BUDGET, "event_id"),
+}
+
 QUOTA_SQL = """
 WITH e AS (SELECT event_id, ts, user_id AS actor, user_id % 11 AS network, ts::DATE AS day FROM events),
 a AS (SELECT *, row_number() OVER (PARTITION BY day, actor ORDER BY ts, event_id) AS n FROM e WHERE actor IS NOT NULL),
@@ -161,5 +203,5 @@ f AS (SELECT user_id, k, event_id, true AS accepted, ms AS last FROM e WHERE k =
   UNION ALL SELECT e.user_id, e.k, e.event_id, e.ms - f.last >= 60000, CASE WHEN e.ms - f.last >= 60000 THEN e.ms ELSE f.last END FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.k = f.k + 1)
 SELECT event_id, accepted FROM f"""
 
-QUERIES = {"route_domains": route_domains, "postings_topk": postings_topk, "retrieve_chunks": retrieve_chunks, "ladder_quota": ladder_quota, "entity_enrichment": entity_enrichment}
-ORACLE_SQL = {"route_domains": router.oracle_sql(router.default_rules(), _SAID), "postings_topk": POSTINGS_SQL, "ladder_quota": _ladder_sql(), "entity_enrichment": ENRICHMENT_SQL, "quota_admission": QUOTA_SQL, "leaky_rpm": LEAKY_SQL}
+QUERIES = {"route_domains": route_domains, "postings_topk": postings_topk, "retrieve_chunks": retrieve_chunks, "ladder_quota": ladder_quota, "entity_enrichment": entity_enrichment} | REPORTS
+ORACLE_SQL = {"route_domains": router.oracle_sql(router.default_rules(), _SAID), "postings_topk": POSTINGS_SQL, "ladder_quota": _ladder_sql(), "entity_enrichment": ENRICHMENT_SQL, "quota_admission": QUOTA_SQL, "leaky_rpm": LEAKY_SQL} | REPORT_SQL
