@@ -1,21 +1,26 @@
 """Chroma audio fingerprints and their alignment.
 
 A recording's samples become frames of twelve pitch classes; filters over the integral image of these frames, each
-quantised to two bits, give one packed 32-bit integer a frame. A query meets the recordings that hold one of its integers
-or of those with its least certain bits turned (`probes`: the `WEAK` filters nearest to a level's edge, all subsets). All
-positions of such integers make an offset histogram; every offset in it is tested, and the share of differing bits where
-the recordings overlap is its error. Matches are recordings of at most `MOST_ERRORS` wrong bits; `WEAK` is
-set so that recall against brute force stays above 0.9 up to there (README).
-
-Recordings are derived from vectors (`from_vectors`): each component sounds one note; null components are left out. Null or empty recordings have no
-fingerprint and match nothing; of equal errors the nearest offset wins, then the smallest; repeated rows match each other; an empty table gives an empty result; other columns are ignored. Very frequent integers are not dropped:
-a partition that holds one is split by adaptive execution, as both sides of the join come from plain exchanges.
+quantised to two bits, give one packed 32-bit integer a frame. Two recordings meet in an offset histogram: every position
+of one and every position of the other vote for the offset between them, with the bits in which their integers agree. The
+votes of all offsets are one correlation, made by Fourier transforms for many pairs at once (`votes`); 32 bits for each
+overlapping frame less the votes are the wrong bits, exactly. Matches are recordings of at most `MOST_ERRORS` wrong bits at an
+offset whose overlap is half of the shorter recording. `compared` tests all pairs and all such offsets, so it leaves none out.
+
+`aligned` is the search by an index, for tables whose pairs are too many: the histogram counts equal integers alone, of the
+recordings that hold one of a query's integers or of those with its least certain bits turned (`probes`: the `WEAK` filters
+nearest to a level's edge, all subsets). It misses matches without such an integer (recall in README); the query doesn't use it.
+
+Recordings are derived from vectors: each component sounds one note; null components are left out. Null or empty recordings have no
+fingerprint and match nothing; of equal errors the nearest offset wins, then the smallest; repeated rows match each other, also under one id; rows without an id are
+found and ask nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,7 @@ RATE, FRAME, HOP, NOTE = 4096, 512, 256, 512
 #: Filters (kind, first pitch class, classes, frames): 0 mean, 1 halves of pitch, 2 halves of time, 3 chequered.
 FILTERS = [(k, c, h, w) for k, c, h, w in zip((1, 2, 3, 2) * 4, (0, 2, 4, 6, 8, 1, 3, 5, 0, 4, 8, 2, 6, 0, 3, 6), (4, 4, 4, 4, 4, 6, 6, 6, 12, 8, 4, 6, 6, 12, 8, 4), (8, 8, 8, 8, 8, 4, 4, 4, 16, 16, 16, 12, 12, 4, 12, 4))]
 CUTS, WEAK, MOST_ERRORS = (-0.04, 0.0, 0.04), 8, 0.25
+BLOCK = 512  # recordings of each side that meet in one task's group
 
 
 _tones = np.sin(2 * np.pi * (220 * 2 ** (np.arange(24) / 12))[:, None] * (np.arange(NOTE) / RATE))
@@ -148,6 +154,96 @@ def aligned(prints: DataFrame, queries: DataFrame, keys: DataFrame, most_errors:
     return best.select("query_id", "vec_id", "m.offset", "m.bit_error", "m.hits")
 
 
+def _spectra(x: np.ndarray, size: int) -> np.ndarray:
+    """(frequency, recording, bit) of recordings of one length, bits as signs."""
+    signs = 1 - 2 * (x[:, None, :] >> np.arange(32, dtype=np.uint32)[:, None] & 1).astype(np.float32 if size <= 4096 else np.float64)  # either keeps sums well within half a vote
+    return np.ascontiguousarray(np.fft.rfft(signs, size, axis=2).transpose(2, 0, 1))
+
+
+def _transform_size(n: int) -> int:
+    """The smallest product of twos, threes and fives from n on."""
+    while True:
+        m = n
+        for k in (2, 3, 5):
+            while m % k == 0:
+                m //= k
+        if m == 1:
+            return n
+        n += 1
+
+
+def votes(q: np.ndarray, r: np.ndarray, most_errors: float = MOST_ERRORS) -> tuple[np.ndarray, ...]:
+    """The pairs of queries q and recordings r (integers, one length a side) within most_errors: (query, recording, offset, millionths of
+    wrong bits, hits: equal integers there), at the offset of least error."""
+    n, p = q.shape[1], r.shape[1]
+    least = (min(n, p) + 1) // 2
+    size = _transform_size(n + p - least)  # offsets of too small an overlap may fall together, others not
+    offsets = np.arange(least - n, p - least + 1)
+    overlap = np.minimum(n + np.minimum(offsets, 0), p - np.maximum(offsets, 0))
+    agree = np.fft.irfft(_spectra(q, size).conj() @ _spectra(r, size).transpose(0, 2, 1), size, axis=0)  # equal bits less wrong ones
+    least_agree = np.full(size, np.inf, agree.dtype)
+    least_agree[offsets % size] = 32 * overlap * (1 - 2 * most_errors - 2e-6) - 0.5
+    k, i, j = np.nonzero(agree >= least_agree[:, None, None])
+    place = np.zeros(size, np.int64)
+    place[offsets % size] = np.arange(len(offsets))
+    o, bits = offsets[place[k]], 32 * overlap[place[k]]
+    wrong = (bits - np.rint(agree[k, i, j]).astype(np.int64)) // 2
+    error = (2_000_000 * wrong + bits) // (2 * bits)  # rounded half up
+    order = np.lexsort((o, np.abs(o), error, j, i))
+    order = order[error[order] <= most_errors * 1e6]
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+    best = order[first]
+    i, j, o, error, frames = i[best], j[best], o[best], error[best], bits[best] // 32
+    hits = np.zeros(len(best), np.int64)
+    for at in np.unique(o):
+        own = np.flatnonzero(o == at)
+        m, a, b = frames[own[0]], max(0, -at), max(0, at)
+        hits[own] = (q[i[own], a : a + m] == r[j[own], b : b + m]).sum(1)
+    return i, j, o, error, hits
+
+
+def _of_one_length(table: pa.Table, id: str, most: int):
+    """(ids, integers) of recordings of one length, about `most` integers at a time."""
+    ids, prints = table.column(id).to_numpy(), table.column("print").combine_chunks()
+    length = pc.list_value_length(prints).to_numpy(zero_copy_only=False)
+    flat, start = prints.flatten().to_numpy().astype(np.uint32), np.cumsum(length) - length
+    for n in np.unique(length):
+        every = np.flatnonzero(length == n)
+        step = max(1, most // n)
+        for k in range(0, len(every), step):
+            at = every[k : k + step]
+            yield ids[at], flat[start[at][:, None] + np.arange(n)]
+
+
+MATCH = "query_id long, vec_id long, offset int, bit_error double, hits long"
+
+
+def compared(prints: DataFrame, queries: DataFrame, most_errors: float = MOST_ERRORS) -> DataFrame:
+    """For each query every recording of another id within `most_errors`, at its offset of least error: (query_id, vec_id, offset,
+    bit_error, hits). prints and queries are (vec_id, print), ids neither null nor repeated, prints not empty; each block of queries meets each block of prints in a group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.empty(0, np.int64)] for _ in range(5)]
+        for ids, r in _of_one_length(right, "vec_id", 28_800):
+            for asked, q in _of_one_length(left, "query_id", 7_200):
+                i, j, *more = votes(q, r, most_errors)
+                other = asked[i] != ids[j]
+                for column, x in zip(out, (asked[i], ids[j], *more)):
+                    column.append(x[other])
+        query_id, vec_id, offset, error, hits = map(np.concatenate, out)
+        return pa.table([pa.array(query_id), pa.array(vec_id), pa.array(offset, pa.int32()), pa.array(error / 1e6), pa.array(hits)], ["query_id", "vec_id", "offset", "bit_error", "hits"])
+
+    n_q, n_r = (max(1, -(-x.count() // BLOCK)) for x in (queries, prints))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("vec_id").alias("query_id"), "print", block(n_q).alias("q"), every(n_r).alias("r"))
+    right = prints.select("vec_id", "print", block(n_r).alias("r"), every(n_q).alias("q"))
+    parts = min(n_q * n_r, 4096)
+    left, right = (x.repartition(parts, "q", "r").groupBy("q", "r") for x in (left, right))
+    return left.cogroup(right).applyInArrow(run, MATCH)
+
+
 def matches(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Every match of each query (vec_id, embedding) in vectors: (query_id, vec_id, offset, bit_error, hits, copies). Recordings
     of equal fingerprints are one class: a match is given once a class, by its smallest other id; `copies` counts its
@@ -156,14 +252,16 @@ def matches(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     prints = written(fingerprints(vectors).filter("size(print) > 0").withColumn("mark", F.sha2(F.to_json(F.struct("print")), 256)))
     classes = prints.groupBy("mark").agg(F.min("vec_id").alias("rep"), F.first("print").alias("print"), F.count("*").alias("n"))
-    second = prints.join(classes.select("mark", "rep"), "mark").filter("vec_id <> rep").groupBy("mark").agg(F.min("vec_id").alias("second"))
-    asked = prints.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "mark").join(classes.select("mark", "rep", "n"), "mark").join(second, "mark", "left")
-    same = asked.filter("second is not null").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("vec_id"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error"), F.lit(None).cast("long").alias("hits"), (F.col("n") - 1).alias("copies"))
-    others = classes.select(F.col("rep").alias("vec_id"), "print")
-    reps = asked.select("rep").distinct()
-    keys = probes(vectors.join(reps.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"]))
-    found = aligned(others, others.join(reps.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi"), keys)
-    found = found.withColumnRenamed("query_id", "rep").join(asked.select("rep", F.col("vec_id").alias("query_id")), "rep").join(classes.select(F.col("rep").alias("vec_id"), F.col("n").alias("copies")), "vec_id")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "mark", "rep", "print", "n"))
+    named = classes.select("class", "mark", "rep", "n")
+    ids = prints.groupBy("mark", "vec_id").agg(F.count("*").alias("rows"))
+    second = ids.join(named.select("mark", "rep"), "mark").filter("vec_id <> rep or rows > 1").groupBy("mark").agg(F.min("vec_id").alias("second"))
+    asked = ids.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").join(named, "mark").join(second, "mark", "left").drop("rows")
+    same = asked.filter("n > 1").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("vec_id"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error"), F.lit(None).cast("long").alias("hits"), (F.col("n") - 1).alias("copies"))
+    recordings = classes.select(F.col("class").alias("vec_id"), "print")
+    found = compared(recordings, written(recordings.join(asked.select(F.col("class").alias("vec_id")).distinct(), "vec_id", "left_semi")))
+    found = found.withColumnsRenamed({"query_id": "asked", "vec_id": "class"}).join(asked.select(F.col("class").alias("asked"), F.col("vec_id").alias("query_id")), "asked")
+    found = found.join(named.select("class", F.col("rep").alias("vec_id"), F.col("n").alias("copies")), "class")
     return same.union(found.select("query_id", "vec_id", "offset", "bit_error", "hits", "copies"))
 
 

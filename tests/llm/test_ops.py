@@ -375,3 +375,36 @@ def test_pages_without_an_id_revisit_the_one_that_has_one(spark):
     p = spark.createDataFrame([(None, "u", "same"), (5, "u", "same"), (None, "v", "same"), (7, "v", "same"), (None, "w", "alone"), (None, "x", "alone"), (9, "y", "z" * 9_000_000)], "page_id long, url string, html string")
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in arc_convert.query(p).collect()), key=str)
     assert got == sorted([(None, 4, "revisit", 5), (5, 4, "response", None), (None, 4, "revisit", 5), (7, 4, "revisit", 5), (None, 5, "response", None), (None, 5, "response", None), (9, 9_000_000, "response", None)], key=str)
+
+
+def test_fingerprints_leave_no_pair_out(spark):
+    """All pairs within 0.25 wrong bits, also those without an integer in common, of several lengths, with repeated and missing ids."""
+    import numpy as np
+
+    r = random.Random(12)
+    make = lambda n: [r.gauss(0, 0.125) for _ in range(n)]
+    vectors = []
+    for n in (24, 24, 31):
+        base = make(n)
+        for sd in range(10):  # every note a little off
+            vectors += [[x + r.gauss(0, sd / 200) for x in part] for part in (base, base[4:])]
+    prints = [audio_fingerprint.fingerprint(audio_fingerprint.samples(x)) for x in vectors]
+
+    def error(p, q):
+        out = []
+        for o in range(-len(p) + 1, len(q)):
+            a, b = p[max(0, -o) :], q[max(0, o) :]
+            n = min(len(a), len(b))
+            if 2 * n >= min(len(p), len(q)):
+                out.append(int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n))
+        return min(out)
+
+    want = {(i * 100, j * 100): e for i, j in itertools.permutations(range(len(prints)), 2) if (e := error(prints[i], prints[j])) <= 0.25}
+    bare = {(i, j) for i, j in want if not set(audio_fingerprint.probed(audio_fingerprint.levels(audio_fingerprint.samples(vectors[i // 100]))).ravel().tolist()) & set(prints[j // 100].tolist())}
+    assert len(want) > 300 and len(bare) > 100  # some pairs share no integer, however many bits are turned
+    v = spark.createDataFrame([(i * 100, x) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = audio_fingerprint.query(v).collect()
+    assert sorted((x.query_id, x.vec_id) for x in found) == sorted(want) and all(abs(x.bit_error - want[x.query_id, x.vec_id]) < 1e-6 for x in found)
+    odd = v.filter("vec_id < 300").union(v.filter("vec_id = 0")).union(v.filter("vec_id < 200").withColumn("vec_id", F.lit(None).cast("long")))
+    got = {(x.query_id, x.vec_id): x.copies for x in audio_fingerprint.query(odd).collect()}
+    assert got[0, 0] == 2 and got[0, 100] == 2 and got[100, None] == 1 and got[100, 0] == 3 and (None, 0) not in got
