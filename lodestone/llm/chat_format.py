@@ -1,19 +1,18 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all preceding turns are its context and only its reply is trained
-on. Examples of one conversation share their context, so a row stores only the text that the example adds to the one
-before it (`segment`) and how much context stands before (`context_chars`); `expanded` gives the full texts. Turns after
-the last reply make a last row that trains on nothing. The template is `[role]text</s>` and a line break a turn; the
-characters that its marks need are escaped inside roles and texts, reversibly.
+Every assistant turn becomes an example of its own: its text holds all preceding turns as context and then its reply, and only
+the reply is trained on. Turns after the last reply make a last example that trains on nothing. The template is `[role]text</s>` and
+a line break a turn; the characters that its marks need are escaped inside roles and texts, reversibly.
 
 Turns sort by turn (nulls last), then role, then text; null roles and texts count as empty; a null conv_id is one
 conversation of its own; repeated rows are turns of their own; an empty table gives an empty result; other columns are
-ignored. One conversation is held in one row, since its digest is one sequential hash.
+ignored. One conversation is held in one row, since its digest is one sequential hash; its examples are made one after the
+other, so that they aren't in memory together, though their texts add up to about half the replies times the conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import let
@@ -36,45 +35,38 @@ def unescape(x: Column) -> Column:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, example_no, n_turns, context_chars, segment, loss_start, loss_end, trained); offsets are code points in the segment."""
+    """Rows (conv_id, example_no, n_turns, text, loss_start, loss_end, trained, whole): a reply with all turns before it; offsets are code points
+    in the text; whole: the conversation's last example, with all its turns."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     conv = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.isnull("turn").alias("last"), "turn", role.alias("role"), text.alias("text")))).alias("turns"))
 
-    def segments(t: Column) -> Column:
+    def ends(t: Column) -> Column:
         replies = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.get(t, i - 1)["role"] == "assistant")
-        ends = F.array_distinct(F.concat(replies, F.array(F.size(t))))
-
-        def each(e: Column, ends: Column, k: Column) -> Column:
-            start = F.coalesce(F.get(ends, k - 1), F.lit(0))
-            last = F.get(t, e - 1)
-            shown = F.array_join(F.transform(F.slice(t, start + 1, e - start), lambda x: F.concat(F.lit("["), escape(x["role"]), F.lit("]"), escape(x["text"]), F.lit(END))), "")
-            return F.struct((e - start).alias("n_turns"), shown.alias("segment"), F.length(escape(last["text"])).alias("reply"), (last["role"] == "assistant").alias("trained"))
-
-        return let(ends, lambda ends: F.transform(ends, lambda e, k: each(e, ends, k)))
-
-    rows = conv.select("conv_id", let(F.col("turns"), segments).alias("s"))
-    rows = rows.select("conv_id", F.posexplode("s").alias("example_no", "x"))
-    w = Window.partitionBy("conv_id").orderBy("example_no").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length("x.segment")
-    stop = n - len(END)
+        each = lambda e: let(F.get(t, e - 1), lambda x: F.struct(e.alias("n_turns"), F.length(escape(x["text"])).alias("reply"), (x["role"] == "assistant").alias("trained"), (e == F.size(t)).alias("whole")))
+        return F.transform(F.array_distinct(F.concat(replies, F.array(F.size(t)))), each)
+
+    shown = F.transform("turns", lambda x: F.concat(F.lit("["), escape(x["role"]), F.lit("]"), escape(x["text"]), F.lit(END)))
+    rows = conv.select("conv_id", shown.alias("shown"), let(F.col("turns"), ends).alias("ends"))
+    rows = rows.select("conv_id", "shown", F.posexplode("ends").alias("example_no", "x"))
+    rows = rows.select("conv_id", "example_no", "x", F.array_join(F.slice("shown", F.lit(1), F.col("x.n_turns")), "").alias("text"))
+    stop = F.length("text") - len(END)
     return rows.select(
-        "conv_id", "example_no", "x.n_turns", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long").alias("context_chars"), "x.segment",
-        F.when(F.col("x.trained"), stop - F.col("x.reply")).alias("loss_start"), F.when(F.col("x.trained"), stop).alias("loss_end"), "x.trained",
+        "conv_id", "example_no", "x.n_turns", "text",
+        F.when(F.col("x.trained"), stop - F.col("x.reply")).alias("loss_start"), F.when(F.col("x.trained"), stop).alias("loss_end"), "x.trained", "x.whole",
     )
 
 
 def expanded(rows: DataFrame) -> DataFrame:
     """Each trained example's whole text (context and reply) with the span that is trained on."""
-    w = Window.partitionBy("conv_id").orderBy("example_no").rowsBetween(Window.unboundedPreceding, 0)
-    full = rows.withColumn("text", F.array_join(F.collect_list("segment").over(w), ""))
-    return full.filter("trained").select("conv_id", "example_no", "text", (F.col("context_chars") + F.col("loss_start")).alias("loss_start"), (F.col("context_chars") + F.col("loss_end")).alias("loss_end"))
+    return rows.filter("trained").select("conv_id", "example_no", "text", "loss_start", "loss_end")
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """What the examples hold, read back from their texts and spans, per conversation."""
-    masked = F.when(F.col("trained"), unescape(F.expr("substring(segment, loss_start + 1, loss_end - loss_start)"))).otherwise("")
-    conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example_no", "segment", masked.alias("loss")))).alias("e"))
-    full, loss = F.array_join("e.segment", ""), F.array_join("e.loss", "")
+    """What the examples hold, read back from their texts and spans, per conversation: turns from the one with all of them, the loss from each."""
+    masked = F.when(F.col("trained"), unescape(F.expr("substring(text, loss_start + 1, loss_end - loss_start)"))).otherwise("")
+    rows = rows.select("conv_id", "example_no", masked.alias("loss"), F.when(F.col("whole"), F.col("text")).alias("full"))
+    conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example_no", "loss"))).alias("e"), F.max("full").alias("full"))
+    full, loss = F.col("full"), F.array_join("e.loss", "")
     parts = F.split(full, END, -1)
     body = F.filter(parts, lambda x: x != "")
     said = F.transform(body, lambda x: F.concat(unescape(F.substring_index(F.substring(x, 2, 1 << 30), "]", 1)), F.lit("\n"), unescape(F.substring(x, F.instr(x, "]") + 1, F.length(x))), F.lit("\n")))

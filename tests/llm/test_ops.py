@@ -408,3 +408,21 @@ def test_fingerprints_leave_no_pair_out(spark):
     odd = v.filter("vec_id < 300").union(v.filter("vec_id = 0")).union(v.filter("vec_id < 200").withColumn("vec_id", F.lit(None).cast("long")))
     got = {(x.query_id, x.vec_id): x.copies for x in audio_fingerprint.query(odd).collect()}
     assert got[0, 0] == 2 and got[0, 100] == 2 and got[100, None] == 1 and got[100, 0] == 3 and (None, 0) not in got
+
+
+def test_chat_examples_hold_their_whole_context(spark):
+    said = [(k, ("user", "assistant", "tool")[k % 3], f"t{k} [x]</s>") for k in range(3000)]
+    t = spark.createDataFrame([(1, *x) for x in said] + [(2, 0, "user", "alone"), (3, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    e = chat_format.examples(t)
+    shown = [f"[{role}]{text.replace('<', '&lt;').replace('>', '&gt;').replace('[', '&lb;').replace(']', '&rb;')}</s>\n" for _, role, text in said]
+    got = {x.example_no: x for x in e.filter("conv_id = 1 and (example_no < 2 or example_no > 998)").collect()}
+    for no, n in ((0, 2), (1, 5), (999, 2999), (1000, 3000)):
+        x = got[no]
+        assert x.text == "".join(shown[:n]) and x.n_turns == n and x.trained == (no < 1000) and x.whole == (no == 1000)
+        assert not x.trained or x.text[x.loss_start : x.loss_end] == shown[n - 1][len("[assistant]") : -len(chat_format.END)]
+    rest = {x.conv_id: x for x in e.filter("conv_id > 1").collect()}
+    assert (rest[2].text, rest[2].trained, rest[3].text, rest[3].loss_start, rest[3].loss_end) == ("[user]alone</s>\n", False, "[assistant]</s>\n", 11, 11)
+    d = {x.conv_id: x for x in chat_format.digests(e).collect()}  # read from each example's own text
+    assert d[1].loss_sha256 == hashlib.sha256("".join(x for _, role, x in said if role == "assistant").encode()).hexdigest() and d[1].n_turns == 3000
+    other = chat_format.digests(e.withColumn("text", F.when(F.col("example_no") == 7, F.regexp_replace("text", "t22 ", "T22 ")).otherwise(F.col("text")))).filter("conv_id = 1").first()
+    assert other.loss_sha256 != d[1].loss_sha256 and other.turns_sha256 == d[1].turns_sha256
