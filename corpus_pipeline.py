@@ -44,9 +44,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return sentencepiece_codec.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), CACHE_BYTES)
 
 
+CACHE_BYTES = 40_000_000  # of the tokens' part caches: the stages share their workers, which keep what they once took
 STAGES = [("quality", quality), ("toxicity", toxic), ("dedup", dedup), ("mixing", mix), ("tokens", tokens)]
 ORACLE_SQL = None
 

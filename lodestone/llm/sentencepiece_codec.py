@@ -31,11 +31,13 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Codec:
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, cache_bytes: int = CACHE_BYTES):
         import ahocorasick
         import sentencepiece as sp
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        self.cache_bytes = cache_bytes
+
         model = pb.ModelProto()
         with open(model_path, "rb") as f:
             model.ParseFromString(f.read())
@@ -201,7 +203,7 @@ class Codec:
             if text != part.replace(SPACE, " "):
                 value = (value, text)
         if len(part) <= 64:
-            if self.held >= CACHE_BYTES:
+            if self.held >= self.cache_bytes:
                 self.older, self.cache, self.held = self.cache, {}, 0
             self.cache[part] = value
             self.held += ENTRY + 2 * len(part) + 6 * len(part)  # the ids' text: up to six places a character
@@ -227,16 +229,16 @@ class Codec:
         return [int(x) for x in joined.split(",")] if joined else []
 
 
-def codec_of(model_path: str) -> Codec:
+def codec_of(model_path: str, cache_bytes: int = CACHE_BYTES) -> Codec:
     """One codec a Python worker: its caches serve all tasks that the worker runs."""
-    return kept(("sentencepiece", model_path), lambda: Codec(model_path))
+    return kept(("sentencepiece", model_path, cache_bytes), lambda: Codec(model_path, cache_bytes))
 
 
-def encoded(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, number of ids and digests of ids and decoded text of every whole text."""
+def encoded(docs: DataFrame, model_path: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """doc_id, number of ids and digests of ids and decoded text of every whole text; `cache_bytes` bounds memory alone."""
 
     def run(batches):
-        codec, sha = codec_of(model_path), hashlib.sha256
+        codec, sha = codec_of(model_path, cache_bytes), hashlib.sha256
 
         def digests(text):
             ids, n, decoded = codec.both(text)

@@ -426,3 +426,14 @@ def test_chat_examples_hold_their_whole_context(spark):
     assert d[1].loss_sha256 == hashlib.sha256("".join(x for _, role, x in said if role == "assistant").encode()).hexdigest() and d[1].n_turns == 3000
     other = chat_format.digests(e.withColumn("text", F.when(F.col("example_no") == 7, F.regexp_replace("text", "t22 ", "T22 ")).otherwise(F.col("text")))).filter("conv_id = 1").first()
     assert other.loss_sha256 != d[1].loss_sha256 and other.turns_sha256 == d[1].turns_sha256
+
+
+def test_sentencepiece_part_caches_within_the_given_bound(spark):
+    texts = [" ".join(f"w{k}x{j}" for k in range(400)) for j in range(30)]
+    d = docs(spark, texts)
+    small = sentencepiece_codec.encoded(d, P.path("piece_bpe_32k.model"), 50_000)
+    assert sorted(small.collect()) == sorted(sentencepiece_codec.encoded(d, P.path("piece_bpe_32k.model")).collect())
+    codec = sentencepiece_codec.Codec(P.path("piece_bpe_32k.model"), 50_000)
+    for x in texts:
+        codec.encode(x)
+        assert (len(codec.cache) + len(codec.older)) * sentencepiece_codec.ENTRY < 110_000
