@@ -29,6 +29,8 @@ RATE, FRAME, HOP, NOTE = 4096, 512, 256, 512
 FILTERS = [(k, c, h, w) for k, c, h, w in zip((1, 2, 3, 2) * 4, (0, 2, 4, 6, 8, 1, 3, 5, 0, 4, 8, 2, 6, 0, 3, 6), (4, 4, 4, 4, 4, 6, 6, 6, 12, 8, 4, 6, 6, 12, 8, 4), (8, 8, 8, 8, 8, 4, 4, 4, 16, 16, 16, 12, 12, 4, 12, 4))]
 CUTS, WEAK, MOST_ERRORS = (-0.04, 0.0, 0.04), 8, 0.25
 BLOCK = 512  # recordings of each side that meet in one task's group
+SINGLE = 4096  # up to this size, single precision keeps sums well within half a vote
+STRIPS = 5_400, 100_000  # offsets of queries, and of recordings, whose histograms are made at once
 
 
 _tones = np.sin(2 * np.pi * (220 * 2 ** (np.arange(24) / 12))[:, None] * (np.arange(NOTE) / RATE))
@@ -156,15 +158,16 @@ def aligned(prints: DataFrame, queries: DataFrame, keys: DataFrame, most_errors:
 
 def _spectra(x: np.ndarray, size: int) -> np.ndarray:
     """(frequency, recording, bit) of recordings of one length, bits as signs."""
-    signs = 1 - 2 * (x[:, None, :] >> np.arange(32, dtype=np.uint32)[:, None] & 1).astype(np.float32 if size <= 4096 else np.float64)  # either keeps sums well within half a vote
-    return np.ascontiguousarray(np.fft.rfft(signs, size, axis=2).transpose(2, 0, 1))
+    bits = np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1)
+    signs = 1 - 2 * bits.astype(np.float32 if size <= SINGLE else np.float64)
+    return np.fft.rfft(signs, size, axis=0).reshape(-1, len(x), 32)
 
 
 def _transform_size(n: int) -> int:
-    """The smallest product of twos, threes and fives from n on."""
+    """The smallest product of twos, threes, fives and sevens from n on."""
     while True:
         m = n
-        for k in (2, 3, 5):
+        for k in (2, 3, 5, 7):
             while m % k == 0:
                 m //= k
         if m == 1:
@@ -174,28 +177,34 @@ def _transform_size(n: int) -> int:
 
 def votes(q: np.ndarray, r: np.ndarray, most_errors: float = MOST_ERRORS) -> tuple[np.ndarray, ...]:
     """The pairs of queries q and recordings r (integers, one length a side) within most_errors: (query, recording, offset, millionths of
-    wrong bits, hits: equal integers there), at the offset of least error."""
+    wrong bits, hits: equal integers there), at the offset of least error. Histograms are made a few queries by many recordings at a time, as
+    many as the transform's size allows, so that neither long recordings nor many offsets within the limit fill the memory."""
     n, p = q.shape[1], r.shape[1]
     least = (min(n, p) + 1) // 2
     size = _transform_size(n + p - least)  # offsets of too small an overlap may fall together, others not
     offsets = np.arange(least - n, p - least + 1)
     overlap = np.minimum(n + np.minimum(offsets, 0), p - np.maximum(offsets, 0))
-    agree = np.fft.irfft(_spectra(q, size).conj() @ _spectra(r, size).transpose(0, 2, 1), size, axis=0)  # equal bits less wrong ones
-    least_agree = np.full(size, np.inf, agree.dtype)
+    least_agree, place = np.full(size, np.inf, np.float32 if size <= SINGLE else np.float64), np.zeros(size, np.int64)
     least_agree[offsets % size] = 32 * overlap * (1 - 2 * most_errors - 2e-6) - 0.5
-    k, i, j = np.nonzero(agree >= least_agree[:, None, None])
-    place = np.zeros(size, np.int64)
     place[offsets % size] = np.arange(len(offsets))
-    o, bits = offsets[place[k]], 32 * overlap[place[k]]
-    wrong = (bits - np.rint(agree[k, i, j]).astype(np.int64)) // 2
-    error = (2_000_000 * wrong + bits) // (2 * bits)  # rounded half up
-    order = np.lexsort((o, np.abs(o), error, j, i))
-    order = order[error[order] <= most_errors * 1e6]
-    first = np.ones(len(order), bool)
-    first[1:] = (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
-    best = order[first]
-    i, j, o, error, frames = i[best], j[best], o[best], error[best], bits[best] // 32
-    hits = np.zeros(len(best), np.int64)
+    found = []
+    for above in range(0, len(r), wide := max(1, STRIPS[1] // size)):
+        of_r = _spectra(r[above : above + wide], size).transpose(0, 2, 1)
+        for start in range(0, len(q), step := max(1, STRIPS[0] // size)):
+            agree = np.fft.irfft(_spectra(q[start : start + step], size).conj() @ of_r, size, axis=0)  # equal bits less wrong ones
+            at = np.flatnonzero(agree >= least_agree[:, None, None])
+            k, i, j = np.unravel_index(at, agree.shape)
+            o, bits = offsets[place[k]], 32 * overlap[place[k]]
+            wrong = (bits - np.rint(agree.ravel()[at]).astype(np.int64)) // 2
+            error = (2_000_000 * wrong + bits) // (2 * bits)  # rounded half up
+            order = np.lexsort((o, np.abs(o), error, j, i))
+            order = order[error[order] <= most_errors * 1e6]
+            first = np.ones(len(order), bool)
+            first[1:] = (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+            best = order[first]
+            found.append((i[best] + start, j[best] + above, o[best], error[best], bits[best] // 32))
+    i, j, o, error, frames = map(np.concatenate, zip(*found))
+    hits = np.zeros(len(i), np.int64)
     for at in np.unique(o):
         own = np.flatnonzero(o == at)
         m, a, b = frames[own[0]], max(0, -at), max(0, at)
@@ -219,20 +228,25 @@ def _of_one_length(table: pa.Table, id: str, most: int):
 MATCH = "query_id long, vec_id long, offset int, bit_error double, hits long"
 
 
+def met(left: pa.Table, right: pa.Table, most_errors: float = MOST_ERRORS) -> pa.Table:
+    """The matches (`MATCH`) of a block of queries (query_id, print) in a block of recordings (vec_id, print) of other ids."""
+    out = [[np.empty(0, np.int64)] for _ in range(5)]
+    for ids, r in _of_one_length(right, "vec_id", STRIPS[1]):
+        for asked, q in _of_one_length(left, "query_id", STRIPS[1]):
+            i, j, *more = votes(q, r, most_errors)
+            other = asked[i] != ids[j]
+            for column, x in zip(out, (asked[i], ids[j], *more)):
+                column.append(x[other])
+    query_id, vec_id, offset, error, hits = map(np.concatenate, out)
+    return pa.table([pa.array(query_id), pa.array(vec_id), pa.array(offset, pa.int32()), pa.array(error / 1e6), pa.array(hits)], ["query_id", "vec_id", "offset", "bit_error", "hits"])
+
+
 def compared(prints: DataFrame, queries: DataFrame, most_errors: float = MOST_ERRORS) -> DataFrame:
     """For each query every recording of another id within `most_errors`, at its offset of least error: (query_id, vec_id, offset,
     bit_error, hits). prints and queries are (vec_id, print), ids neither null nor repeated, prints not empty; each block of queries meets each block of prints in a group."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[np.empty(0, np.int64)] for _ in range(5)]
-        for ids, r in _of_one_length(right, "vec_id", 28_800):
-            for asked, q in _of_one_length(left, "query_id", 7_200):
-                i, j, *more = votes(q, r, most_errors)
-                other = asked[i] != ids[j]
-                for column, x in zip(out, (asked[i], ids[j], *more)):
-                    column.append(x[other])
-        query_id, vec_id, offset, error, hits = map(np.concatenate, out)
-        return pa.table([pa.array(query_id), pa.array(vec_id), pa.array(offset, pa.int32()), pa.array(error / 1e6), pa.array(hits)], ["query_id", "vec_id", "offset", "bit_error", "hits"])
+        return met(left, right, most_errors)
 
     n_q, n_r = (max(1, -(-x.count() // BLOCK)) for x in (queries, prints))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")

@@ -437,3 +437,29 @@ def test_sentencepiece_part_caches_within_the_given_bound(spark):
     for x in texts:
         codec.encode(x)
         assert (len(codec.cache) + len(codec.older)) * sentencepiece_codec.ENTRY < 110_000
+
+
+def test_fingerprints_of_mixed_lengths_take_little_memory(monkeypatch):
+    """Short queries meet a long recording without the spectra of all of them at once; each recording is transformed once a block."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    long, starts = r.integers(0, 2**32, (1, 20_000), np.uint32), r.integers(0, 19_988, 100)
+    tracemalloc.start()
+    i, j, offset, error, hits = audio_fingerprint.votes(long[0][starts[:, None] + np.arange(12)], long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i.tolist() == list(range(100)) and offset.tolist() == starts.tolist() and not error.any() and (hits == 12).all() and not j.any()
+    assert peak < 100e6, peak
+
+    made, spectra = [], audio_fingerprint._spectra
+    monkeypatch.setattr(audio_fingerprint, "_spectra", lambda x, size: made.append(len(x)) or spectra(x, size))
+    prints = r.integers(0, 2**32, (300, 112), np.uint32).astype(np.int64)
+    prints[200:] = prints[:100] ^ (1 << 5)
+    block = lambda name, at: pa.table({name: pa.array(at), "print": pa.array([prints[k].tolist() for k in at], pa.list_(pa.int64()))})
+    found = audio_fingerprint.met(block("query_id", range(256)), block("vec_id", range(300))).to_pylist()
+    assert sum(made) == 256 + 300
+    assert {(x["query_id"], x["vec_id"], x["offset"], x["bit_error"]) for x in found} == {(a, b, 0, 0.03125) for k in range(100) for a, b in ((k, k + 200), (k + 200, k)) if a < 256} and len(found) == 156
