@@ -313,9 +313,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def spread(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """rows left joined with names (one row a key, few keys): a key that holds many rows goes to `SALTS` tasks."""
+    """rows left joined with names (one row a key): a key that holds many rows goes to `SALTS` tasks. Names grow with the
+    documents and are repeated here, which Spark's estimates of size leave out, so they are never broadcast."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")
+    each = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 def united(comp: DataFrame, links: DataFrame) -> DataFrame:

@@ -463,3 +463,13 @@ def test_fingerprints_of_mixed_lengths_take_little_memory(monkeypatch):
     found = audio_fingerprint.met(block("query_id", range(256)), block("vec_id", range(300))).to_pylist()
     assert sum(made) == 256 + 300
     assert {(x["query_id"], x["vec_id"], x["offset"], x["bit_error"]) for x in found} == {(a, b, 0, 0.03125) for k in range(100) for a, b in ((k, k + 200), (k + 200, k)) if a < 256} and len(found) == 156
+
+
+def test_names_are_not_broadcast(spark):
+    """Names grow with the documents, and `spread` repeats them: a broadcast would meet the driver's memory."""
+    rows = spark.range(1000).select(F.col("id").alias("cid"), (F.col("id") % 7).alias("comp"))
+    names = spark.range(6).select(F.col("id").alias("comp"), (F.col("id") * 10).alias("label"))
+    out = jaccard_join.spread(rows, names, "comp")
+    got = {r.cid: r.label for r in out.collect()}
+    assert got == {i: i % 7 * 10 if i % 7 < 6 else None for i in range(1000)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
