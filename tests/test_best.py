@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import best, postings, retrieval, scoring
+from lodestone.operators import best, nearest, postings, retrieval, scoring, search
+from lodestone.sources.files import stored
 from tests.test_postings import STOP, fixture
 
 
@@ -49,3 +51,44 @@ def test_no_row_for_each_pair(spark):
 
     plan = registry.QUERIES["postings_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "title_words" not in plan
+
+
+def test_nearest_equal_all_cosines(spark):
+    r = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    some = [[r.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(4)] for _ in range(60)] + [[r.gauss(0, 1) for _ in range(4)] for _ in range(60)]
+    odd = [None, [1.0, None, 0.0, 2.0], [nan, 1.0, 0.0, 0.0], [inf, 1.0, 1.0, 1.0], [1.0, 2.0], [], [0.0] * 4]
+    rows = [(f"c:{i}", v, r.choice(["a", "b", "c", None]), r.choice([None, "x", "y"])) for i, v in enumerate([*some, *odd])]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<double>, domain string, library string")
+    asked = [(i, v, r.sample(["a", "b", "c"], r.randrange(1, 4)), r.sample(["x", "y"], r.randrange(2))) for i, v in enumerate([*some[::5], *some[1::7], *odd])]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>, domains array<string>, shut array<string>")
+    pairs = queries.filter("vector is not null").withColumn("domain", F.explode("domains")).join(vectors.filter("embedding is not null"), "domain")
+    pairs = pairs.filter(~F.coalesce(F.array_contains("shut", F.col("library")), F.lit(False)))
+    every = pairs.select("query_id", "chunk_id", nearest.cosine(F.col("vector"), F.col("embedding")).alias("score"))
+    for k in (1, 9, 200):
+        got, want = (sorted((x.query_id, x["rank"], x.chunk_id, str(x.score)) for x in retrieval.top_k(f, k, "chunk_id").collect()) for f in (nearest.nearest(queries, vectors, k), every))
+        assert got == want and len(want) > 30
+
+
+def test_rounding_is_sparks(spark):
+    r = random.Random(1)
+    x = [r.choice([-1, 1]) * r.randrange(200_000) / 200_000 for _ in range(300)] + [r.uniform(-1, 1) for _ in range(300)] + [0.0, -1e-9]
+    want = [v.x for v in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", F.round("x", 5).alias("x")).orderBy("i").collect()]
+    assert nearest.rounded(np.array(x)).tolist() == want
+
+
+def test_whole_retrieval_joins_no_pairs(spark):
+    """Vectors and queries of a domain were joined pair by pair, and so were candidates, nearly all chunks of a shard."""
+    q = spark.createDataFrame([(i, "genesis verse", [float(i), 1.0]) for i in range(40)], "query_id long, text string, vector array<double>")
+    c = spark.createDataFrame([(f"d:{i}", str(i), "genesis", "u", "t", "bible", None) for i in range(50)], "chunk_id string, doc_id string, title string, url string, text string, domain string, library string")
+    v = spark.createDataFrame([(f"d:{i}", [1.0, float(i)]) for i in range(50)], "chunk_id string, embedding array<double>")
+    shards = c.select("chunk_id", F.lit("lexical:domain:bible").alias("shard"))
+    plans = []
+
+    def keep(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stored(frame)
+
+    assert search.retrieve(q, c, v, shards, keep=keep).results.count() == 200
+    assert any("MapInArrow" in p for p in plans) and not any("zip_with" in p and "MapInArrow" not in p for p in plans)
+    assert not any("title_words" in p and "aggregate(fields" in p for p in plans)
